@@ -27,7 +27,7 @@ from plumbline.llm.formatting_dedup import question_key
 
 #: Similarity that TESTDATA.md sets for this problem.
 THRESHOLD = 0.6
-#: Regions of at most this many classes are joined directly.
+#: Regions of at most this many rows squared comparisons are joined directly.
 REGION_ROWS = 2000
 #: Pivots per split and the deepest split.
 PIVOTS, DEPTH = 8, 3
@@ -79,37 +79,45 @@ def _prefix_rows(sketch_of, threshold: float):
     return rows
 
 
-def _compatible(threshold: float) -> Column:
-    """Size and position bounds for a pair met at its first common word; exact, never drops a pair."""
+def _index_role(rows: DataFrame, threshold: float) -> DataFrame:
+    """Rows of the shorter prefix that the smaller set of a pair needs; the larger probes with its whole prefix."""
+    share = 2 * threshold / (1 + threshold)
+    return rows.where(F.col("pos") < F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
+
+
+def _met(threshold: float) -> Column:
+    """Roles, size and position bounds of an index row ``a`` and a probe row ``b`` at their first common word; exact."""
     share = threshold / (1 + threshold)
-    small, large = F.least("a.size", "b.size"), F.greatest("a.size", "b.size")
-    reach = 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) - 1
-    return (small >= threshold * large - 1e-9) & (reach >= share * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    once = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.cls") < F.col("b.cls")))
+    reach = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
+    return once & (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (reach >= share * (F.col("a.size") + F.col("b.size")) - 1e-9)
+
+
+def _pair() -> list[Column]:
+    return [F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")]
+
+
+def _near(threshold: float) -> Column:
+    """What the triangle inequality leaves of two members of one cell, one of them at home."""
+    return (F.abs(F.col("a.dist") - F.col("b.dist")) <= 1 - threshold + 1e-9) & (F.col("a.home") | F.col("b.home"))
 
 
-def _direct(rows: DataFrame, keys: list[str], extra: Column | None, threshold: float) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of rows that agree on ``keys``."""
-    on = _compatible(threshold) & (F.col("a.cls") < F.col("b.cls"))
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    if extra is not None:
-        on = on & extra
-    return rows.alias("a").join(rows.alias("b"), on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
+def _direct(rows: DataFrame, key: str, threshold: float, extra: Column | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of the rows of one region."""
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & _met(threshold)
+    return _index_role(rows, threshold).alias("a").join(rows.alias("b"), on if extra is None else on & extra).select(*_pair())
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, limit: int, threshold: float) -> DataFrame:
-    """Candidate pairs of large cells, cut into blocks: one task sees two blocks, every pair of blocks once."""
+    """Candidate pairs of large cells, cut into blocks: one task sees two blocks, every pair of rows meets once."""
     blocked = rows.join(sizes.select("cell", F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("blocks")), "cell").withColumn(
         "block", F.pmod(F.xxhash64("cls", F.lit(17)), F.col("blocks").cast("long")).cast("int")
     )
-    left = blocked.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))).alias("a")
-    right = blocked.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("block")))).alias("b")
-    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") == F.col("b.first")) & (F.col("a.other") == F.col("b.block")) & (F.col("a.cls") != F.col("b.cls"))
-    once = (F.col("a.block") != F.col("b.block")) | (F.col("a.cls") < F.col("b.cls"))
-    near = F.abs(F.col("a.dist") - F.col("b.dist")) <= 1 - threshold + 1e-9
-    return left.join(right, on & once & near & (F.col("a.home") | F.col("b.home")) & _compatible(threshold)).select(
-        F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b")
-    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = _index_role(blocked, threshold).withColumn("other", every).alias("a")
+    right = blocked.withColumn("other", every).alias("b")
+    on = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.block") == F.col("b.other")) & (F.col("a.other") == F.col("b.block"))
+    return left.join(right, on & _near(threshold) & _met(threshold)).select(*_pair())
 
 
 def _distance(x: Column, y: Column) -> Column:
@@ -141,31 +149,34 @@ def _split(rows: DataFrame, classes: DataFrame, pivots: int, threshold: float) -
     )
 
 
-def _heavy_pairs(heavy: DataFrame, classes: DataFrame, scratch: Scratch, threshold: float, region_rows: int, pivots: int, depth: int) -> DataFrame:
+def _comparisons(rows: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, n, work): rows and index-by-probe comparisons of each region."""
+    share = 2 * threshold / (1 + threshold)
+    index = F.count_if(F.col("pos") < F.col("size") - F.ceil(share * F.col("size") - 1e-9) + 1)
+    n = F.count(F.lit(1))
+    return rows.groupBy(key).agg(n.alias("n"), (index.cast("double") * n).alias("work"))
+
+
+def _large_pairs(regions: DataFrame, classes: DataFrame, scratch: Scratch, threshold: float, region_rows: int, pivots: int, depth: int) -> DataFrame:
     """Candidate pairs of the large regions, by recursive pivot splits and, at the end, blocks."""
-    rows = scratch.keep(heavy.select(F.col("token").alias("cell"), "cls", "size", "pos", F.lit(True).alias("home"), F.lit(0.0).alias("dist")), "cells-0")
-    kept = scratch.keep(classes.join(rows.select("cls").distinct(), "cls", "left_semi"), "heavy-classes")
-    near = F.abs(F.col("a.dist") - F.col("b.dist")) <= 1 - threshold + 1e-9
-    either = F.col("a.home") | F.col("b.home")
+    rows = scratch.keep(regions.select(F.col("token").alias("cell"), "cls", "size", "pos", F.lit(True).alias("home"), F.lit(0.0).alias("dist")), "cells-0")
+    kept = scratch.keep(classes.join(rows.select("cls").distinct(), "cls", "left_semi"), "cell-classes")
     found: list[DataFrame] = []
     for level in range(depth + 1):
-        sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
-        large = sizes.where(F.col("n") > region_rows)
-        small_rows = rows.join(large.select("cell"), "cell", "left_anti")
-        found.append(_direct(small_rows, ["cell"], near & either, threshold))
-        rows = rows.join(large.select("cell"), "cell", "left_semi")
-        if rows.isEmpty():
+        cells = scratch.keep(_comparisons(rows, "cell", threshold), f"sizes-{level}")
+        large = cells.where(F.col("work") > float(region_rows) ** 2)
+        found.append(_direct(rows.join(large.select("cell"), "cell", "left_anti"), "cell", threshold, _near(threshold)))
+        if large.isEmpty():
             break
+        rows = rows.join(large.select("cell"), "cell", "left_semi")
         if level == depth:
             found.append(_in_blocks(rows, large, region_rows, threshold))
             break
         split = scratch.keep(_split(rows, kept, pivots, threshold), f"split-{level + 1}")
         # A split pays if its cells cost less than half the comparisons of the cell they came from.
-        cost = split.groupBy("parent", "cell").agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if("home").alias("homes"))
-        cost = cost.groupBy("parent").agg(F.sum(F.col("n") * F.col("homes")).alias("after"))
-        pays = scratch.keep(large.join(cost.withColumnRenamed("parent", "cell"), "cell").where(F.col("after") < 0.5 * F.col("n") * F.col("homes")).select("cell"), f"pays-{level + 1}")
-        whole = rows.join(pays, "cell", "left_anti")
-        found.append(_in_blocks(whole, large, region_rows, threshold))
+        after = _comparisons(split, "cell", threshold).join(split.select("cell", "parent").distinct(), "cell").groupBy("parent").agg(F.sum("work").alias("after"))
+        pays = scratch.keep(large.join(after.withColumnRenamed("parent", "cell"), "cell").where(F.col("after") < 0.5 * F.col("work")).select("cell"), f"pays-{level + 1}")
+        found.append(_in_blocks(rows.join(pays, "cell", "left_anti"), large, region_rows, threshold))
         rows = split.join(pays.withColumnRenamed("cell", "parent"), "parent", "left_semi").select("cell", "cls", "size", "pos", "home", "dist")
     out = found[0]
     for df in found[1:]:
@@ -176,8 +187,9 @@ def _heavy_pairs(heavy: DataFrame, classes: DataFrame, scratch: Scratch, thresho
 def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, depth: int = DEPTH, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """All pairs (cls_a, cls_b, shared, size_a, size_b), cls_a < cls_b, with Jaccard of at least ``threshold``.
 
-    ``docs`` is (cls long, words array<long>), one or more rows per class with the same words; classes
-    without words are similar to nothing. No words, no classes or one class give no rows.
+    ``docs`` is (cls long, words array<long>), one or more rows per class with the same words; it is
+    read several times, so give a written table. Classes without words are similar to nothing; no
+    words, no classes or one class give no rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
@@ -186,14 +198,17 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows:
     sketch = spark.sparkContext.broadcast((frequency_sketch(docs, sketch_bits), region_rows))
     prefix, schema = _prefix_rows(sketch, threshold), "token long, cls long, size int, pos int, heavy boolean"
     classes = docs.groupBy("cls").agg(F.first("words").alias("words"))
-    regions = classes.mapInArrow(prefix, schema)
-    light = _direct(regions.where("not heavy"), ["token"], None, threshold)
-    # A word is heavy by its bucket's count, an upper bound of its region's size; real sizes are checked below.
-    if docs.mapInArrow(prefix, schema).where("heavy").isEmpty():
-        candidates = light
+    regions = classes.mapInArrow(prefix, schema).select("token", "cls", "size", "pos")
+    # A bucket's count bounds the size of its words' regions: only words of full buckets can have large ones.
+    scratch = Scratch(spark)
+    suspects = docs.mapInArrow(prefix, schema).where("heavy")
+    large = scratch.keep(_comparisons(suspects, "token", threshold).where(F.col("work") > float(region_rows) ** 2).select("token"), "large-regions")
+    if large.isEmpty():
+        candidates = _direct(regions, "token", threshold)
     else:
-        scratch = Scratch(spark)
-        candidates = light.unionByName(_heavy_pairs(regions.where("heavy"), classes, scratch, threshold, region_rows, pivots, depth))
+        candidates = _direct(regions.join(large, "token", "left_anti"), "token", threshold).unionByName(
+            _large_pairs(regions.join(large, "token", "left_semi"), classes, scratch, threshold, region_rows, pivots, depth)
+        )
     met = candidates.distinct()
     left, right = classes.select(F.col("cls").alias("a"), F.col("words").alias("words_a")), classes.select(F.col("cls").alias("b"), F.col("words").alias("words_b"))
     checked = met.join(left, "a").join(right, "b").select(
@@ -219,7 +234,7 @@ def near_duplicates(questions: DataFrame, threshold: float = THRESHOLD, **option
     expanded. A null stem or choice list counts as empty; rows without any word pair with nothing;
     rows with a null ordinal are left out; other columns are ignored.
     """
-    docs = question_words(questions)
+    docs = Scratch(questions.sparkSession).keep(question_words(questions), "documents")
     units = docs.where(F.size("words") > 0).groupBy("cls", "copy_key").agg(F.count(F.lit(1)).alias("n"))
     across = similar_classes(docs.select("cls", "words"), threshold, **options).select("cls_a", "cls_b")
     ua = units.select(F.col("cls").alias("cls_a"), F.col("copy_key").alias("key_a"))
