@@ -31,8 +31,8 @@ THRESHOLD = 0.6
 REGION_ROWS = 2000
 #: Pivots per split and the deepest split.
 PIVOTS, DEPTH = 8, 3
-#: Buckets of the word-frequency sketch: a fixed size, whatever the vocabulary.
-SKETCH_BITS = 18
+#: Buckets of the word-frequency sketch, as bits: they follow the rows between these bounds.
+SKETCH_BITS = (16, 20)
 
 
 def words_of(*texts: Column) -> Column:
@@ -42,7 +42,7 @@ def words_of(*texts: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def frequency_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def frequency_sketch(docs: DataFrame, bits: int) -> np.ndarray:
     """Word counts by hash bucket over all documents; it only sets the order of words, never a result."""
     counted = docs.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     got = counted.toArrow()
@@ -52,7 +52,10 @@ def frequency_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def _prefix_rows(sketch_of, threshold: float):
-    """Rows (token, cls, size, pos, heavy) of every document's prefix in rarest-first word order."""
+    """Rows (token, cls, size, pos, heavy) of every document's prefix in rarest-first word order.
+
+    The region is the low half of the word's hash: words that share it share a region, no pair is lost.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, limit = sketch_of.value
@@ -72,7 +75,7 @@ def _prefix_rows(sketch_of, threshold: float):
             who = owner[keep]
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[picked]), pa.array(cls[who]), pa.array(sizes[who].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(freq[picked] > limit)],
+                [pa.array(flat[picked].astype(np.int32)), pa.array(cls[who]), pa.array(sizes[who].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(freq[picked] > limit)],
                 names=["token", "cls", "size", "pos", "heavy"],
             )
 
@@ -105,7 +108,10 @@ def _near(threshold: float) -> Column:
 def _direct(rows: DataFrame, key: str, threshold: float, extra: Column | None = None) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the rows of one region."""
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & _met(threshold)
-    return _index_role(rows, threshold).alias("a").join(rows.alias("b"), on if extra is None else on & extra).select(*_pair())
+    # One exchange serves both sides: the index filter stays above it as it is not deterministic to the optimiser.
+    spread = rows.repartition(key)
+    index = _index_role(spread.withColumn("pos", F.col("pos") + F.spark_partition_id() * 0), threshold)
+    return index.alias("a").join(spread.alias("b"), on if extra is None else on & extra).select(*_pair())
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, limit: int, threshold: float) -> DataFrame:
@@ -184,7 +190,7 @@ def _large_pairs(regions: DataFrame, classes: DataFrame, scratch: Scratch, thres
     return out
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, depth: int = DEPTH, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, depth: int = DEPTH, sketch_bits: int | None = None) -> DataFrame:
     """All pairs (cls_a, cls_b, shared, size_a, size_b), cls_a < cls_b, with Jaccard of at least ``threshold``.
 
     ``docs`` is (cls long, words array<long>), one or more rows per class with the same words; it is
@@ -195,8 +201,9 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     docs = docs.where(F.size("words") > 0)
+    sketch_bits = sketch_bits or min(max(SKETCH_BITS[0], (docs.count() // 16).bit_length()), SKETCH_BITS[1])
     sketch = spark.sparkContext.broadcast((frequency_sketch(docs, sketch_bits), region_rows))
-    prefix, schema = _prefix_rows(sketch, threshold), "token long, cls long, size int, pos int, heavy boolean"
+    prefix, schema = _prefix_rows(sketch, threshold), "token int, cls long, size int, pos int, heavy boolean"
     classes = docs.groupBy("cls").agg(F.first("words").alias("words"))
     regions = classes.mapInArrow(prefix, schema).select("token", "cls", "size", "pos")
     # A bucket's count bounds the size of its words' regions: only words of full buckets can have large ones.
