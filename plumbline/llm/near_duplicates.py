@@ -200,10 +200,10 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
-    docs = docs.where(F.size("words") > 0)
+    docs = docs.where(F.col("cls").isNotNull() & F.col("words").isNotNull() & (F.size("words") > 0))
     sketch_bits = sketch_bits or min(max(SKETCH_BITS[0], (docs.count() // 16).bit_length()), SKETCH_BITS[1])
     sketch = spark.sparkContext.broadcast((frequency_sketch(docs, sketch_bits), region_rows))
-    prefix, schema = _prefix_rows(sketch, threshold), "token int, cls long, size int, pos int, heavy boolean"
+    prefix, schema = _prefix_rows(sketch, threshold), "token int not null, cls long not null, size int not null, pos int not null, heavy boolean not null"
     classes = docs.groupBy("cls").agg(F.first("words").alias("words"))
     regions = classes.mapInArrow(prefix, schema).select("token", "cls", "size", "pos")
     # A bucket's count bounds the size of its words' regions: only words of full buckets can have large ones.
