@@ -32,7 +32,7 @@ REGION_ROWS = 2000
 #: Pivots per split and the deepest split.
 PIVOTS, DEPTH = 8, 3
 #: Buckets of the word-frequency sketch, as bits: they follow the rows between these bounds.
-SKETCH_BITS = (16, 20)
+SKETCH_BITS = (15, 20)
 
 
 def words_of(*texts: Column) -> Column:
@@ -242,17 +242,22 @@ def near_duplicates(questions: DataFrame, threshold: float = THRESHOLD, **option
     rows with a null ordinal are left out; other columns are ignored.
     """
     docs = Scratch(questions.sparkSession).keep(question_words(questions), "documents")
-    units = docs.where(F.size("words") > 0).groupBy("cls", "copy_key").agg(F.count(F.lit(1)).alias("n"))
     across = similar_classes(docs.select("cls", "words"), threshold, **options).select("cls_a", "cls_b")
-    ua = units.select(F.col("cls").alias("cls_a"), F.col("copy_key").alias("key_a"))
-    ub = units.select(F.col("cls").alias("cls_b"), F.col("copy_key").alias("key_b"))
+    # Members are spread by class once; every join below is on the class and reuses that exchange.
+    members = docs.where(F.size("words") > 0).select("cls", "copy_key", "ordinal").repartition("cls")
+    units = members.groupBy("cls", "copy_key").agg(F.lit(1).alias("one"))
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        return df.select(F.col("cls").alias(f"cls_{mark}"), F.col("copy_key").alias(f"key_{mark}"), *([F.col("ordinal").alias(mark)] if "ordinal" in df.columns else []))
+
+    ua, ub = side(units, "a"), side(units, "b")
     between = across.join(ua, "cls_a").join(ub, "cls_b").where(F.col("key_a") != F.col("key_b"))
     within = ua.join(ub, (F.col("cls_a") == F.col("cls_b")) & (F.col("key_a") < F.col("key_b")))
     linked = between.select("cls_a", "key_a", "cls_b", "key_b").unionByName(within.select("cls_a", "key_a", "cls_b", "key_b"))
-    members = docs.select("cls", "copy_key", "ordinal")
-    ma = members.select(F.col("cls").alias("cls_a"), F.col("copy_key").alias("key_a"), F.col("ordinal").alias("a"))
-    mb = members.select(F.col("cls").alias("cls_b"), F.col("copy_key").alias("key_b"), F.col("ordinal").alias("b"))
-    return linked.join(ma, ["cls_a", "key_a"]).join(mb, ["cls_b", "key_b"]).select(F.least("a", "b").alias("ordinal_a"), F.greatest("a", "b").alias("ordinal_b"))
+    ma, mb = side(members, "a").withColumnRenamed("key_a", "own_a"), side(members, "b").withColumnRenamed("key_b", "own_b")
+    first = linked.join(ma, "cls_a").where(F.col("key_a").bitwiseXOR(F.col("own_a")) == 0).drop("key_a", "own_a", "cls_a")
+    both = first.join(mb, "cls_b").where(F.col("key_b").bitwiseXOR(F.col("own_b")) == 0)
+    return both.select(F.least("a", "b").alias("ordinal_a"), F.greatest("a", "b").alias("ordinal_b"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
