@@ -14,6 +14,7 @@ cannot split any more is joined in blocks, so no task ever holds a whole region
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ THRESHOLD = 0.6
 REGION_ROWS = 2000
 #: Pivots per split and the deepest split.
 PIVOTS, DEPTH = 8, 3
-#: Buckets of the word-frequency sketch, as bits: they follow the rows between these bounds.
-SKETCH_BITS = (15, 20)
+#: Buckets of the word-frequency sketch, as bits: a fixed 4 MB, whatever the vocabulary.
+SKETCH_BITS = 20
 
 
 def words_of(*texts: Column) -> Column:
@@ -42,13 +43,34 @@ def words_of(*texts: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def frequency_sketch(docs: DataFrame, bits: int) -> np.ndarray:
-    """Word counts by hash bucket over all documents; it only sets the order of words, never a result."""
-    counted = docs.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND((1 << bits) - 1).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    got = counted.toArrow()
+def frequency_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+    """Word counts by hash bucket over all documents; it only sets the order of words, never a result.
+
+    Each task counts into a dense array and hands on compressed slices; slices are added up apart, so
+    neither a task nor the driver ever holds more than the fixed sketch.
+    """
+    slices = 16
+    width = (1 << bits) // slices
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            flat = batch.column("words").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(flat & ((1 << bits) - 1), minlength=1 << bits)
+        parts = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(slices)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(key: tuple, part: pa.Table) -> pa.Table:
+        total = np.zeros(width, dtype=np.int64)
+        for counts in part.column("counts"):
+            total += np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.int64)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select("words").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").toArrow().to_pylist()
     sketch = np.zeros(1 << bits, dtype=np.int64)
-    sketch[got.column("b").to_numpy()] = got.column("n").to_numpy()
-    return sketch
+    for row in rows:
+        sketch[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.int64)
+    return np.minimum(sketch, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def _prefix_rows(sketch_of, threshold: float):
@@ -190,7 +212,7 @@ def _large_pairs(regions: DataFrame, classes: DataFrame, scratch: Scratch, thres
     return out
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, depth: int = DEPTH, sketch_bits: int | None = None) -> DataFrame:
+def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows: int = REGION_ROWS, pivots: int = PIVOTS, depth: int = DEPTH, sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """All pairs (cls_a, cls_b, shared, size_a, size_b), cls_a < cls_b, with Jaccard of at least ``threshold``.
 
     ``docs`` is (cls long, words array<long>), one or more rows per class with the same words; it is
@@ -201,7 +223,6 @@ def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, region_rows:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
     docs = docs.where(F.col("cls").isNotNull() & F.col("words").isNotNull() & (F.size("words") > 0))
-    sketch_bits = sketch_bits or min(max(SKETCH_BITS[0], (docs.count() // 16).bit_length()), SKETCH_BITS[1])
     sketch = spark.sparkContext.broadcast((frequency_sketch(docs, sketch_bits), region_rows))
     prefix, schema = _prefix_rows(sketch, threshold), "token int not null, cls long not null, size int not null, pos int not null, heavy boolean not null"
     classes = docs.groupBy("cls").agg(F.first("words").alias("words"))
