@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import formatting_dedup, leakage, near_duplicates
+from plumbline.llm import formatting_dedup, leakage, mixing, near_duplicates
 
-_MODULES = [formatting_dedup, leakage, near_duplicates]
+_MODULES = [formatting_dedup, leakage, mixing, near_duplicates]
 
 
 def queries() -> dict:
