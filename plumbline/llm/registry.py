@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import formatting_dedup, leakage, mixing, near_duplicates
+from plumbline.llm import epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling
 
-_MODULES = [formatting_dedup, leakage, mixing, near_duplicates]
+_MODULES = [epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling]
 
 
 def queries() -> dict:
