@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling
+from plumbline.llm import epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, truncation
 
-_MODULES = [epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling]
+_MODULES = [epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, truncation]
 
 
 def queries() -> dict:
