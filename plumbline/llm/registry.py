@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, truncation
+from plumbline.llm import epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, subject_areas, truncation
 
-_MODULES = [epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, truncation]
+_MODULES = [epoch_sampling, formatting_dedup, leakage, mixing, near_duplicates, proportional_sampling, subject_areas, truncation]
 
 
 def queries() -> dict:
