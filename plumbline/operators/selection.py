@@ -131,16 +131,13 @@ def overlap(calibration: DataFrame, evaluation: DataFrame, key: str) -> DataFram
 def chunks(df: DataFrame, every: int, order: str = "ordinal") -> DataFrame:
     """``df`` plus chunk_number: consecutive chunks of ``every`` rows in source order, without sorting in one task.
 
-    Rows are range-partitioned and numbered within partitions; the counts of partitions before give the offset.
+    Rows are numbered within blocks of 65,536 consecutive ordinals; the counts of the blocks before give the offset.
     """
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__mid", F.monotonically_increasing_id())
-    kept = spread.withColumn("__p", F.shiftright("__mid", 33)).withColumn("__i", F.col("__mid").bitwiseAND((1 << 33) - 1))
-    # Ordinals are unique, so their ranges name the partitions: one row for each partition goes to the driver.
-    sizes = kept.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).orderBy("__p").collect()
+    blocked = df.withColumn("__block", F.floor(F.col(order) / 65536).cast("long"))
     offsets, total = [], 0
-    for r in sizes:
-        offsets.append((r["__p"], total))
-        total += r["n"]
-    table = df.sparkSession.createDataFrame(offsets, "__p long, __before long")
-    numbered = kept.join(F.broadcast(table), "__p")
+    for r in blocked.groupBy("__block").count().orderBy("__block").collect():
+        offsets.append((r["__block"], total))
+        total += r["count"]
+    table = df.sparkSession.createDataFrame(offsets, "__block long, __before long")
+    numbered = blocked.withColumn("__i", F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1).join(table, "__block")
     return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__i")) / every).cast("long").alias("chunk_number"))
