@@ -5,6 +5,8 @@ Vectors take their length from the row, never a constant. NaN never enters: clip
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ MISSING_LOGIT = -30.0
 MISSING_PRIOR = 1e-6
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: the optimiser inlines columns, but not the variable of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     """Sum of a vector, from the left."""
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
@@ -21,7 +28,8 @@ def total(v: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """Divide by the sum; a sum of 0 or less gives the uniform vector."""
-    return F.when(total(v) > 0, F.transform(v, lambda x: x / total(v))).otherwise(F.transform(v, lambda x: F.lit(1.0) / F.size(v)))
+    share = lambda p: F.when(p["s"] > 0, F.transform(p["v"], lambda x: x / p["s"])).otherwise(F.transform(p["v"], lambda x: F.lit(1.0) / F.size(p["v"])))
+    return let(v, lambda w: let(F.struct(w.alias("v"), total(w).alias("s")), share))
 
 
 def clipped(v: Column, least: float = EPSILON) -> Column:
@@ -31,8 +39,8 @@ def clipped(v: Column, least: float = EPSILON) -> Column:
 
 def softmax(v: Column) -> Column:
     """Softmax with the largest element taken off first."""
-    e = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(e, lambda x: x / total(e))
+    powers = lambda w: let(F.array_max(w), lambda top: F.transform(w, lambda x: F.exp(x - top)))
+    return let(v, lambda w: let(powers(w), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s))))
 
 
 def label_distribution(logits: Column) -> Column:
@@ -48,27 +56,31 @@ def square(m: Column) -> Column:
 
 def prior_from_rollouts(m: Column) -> Column:
     """Position prior of a question: softmax over positions of the mean log probability over rotations (Eq. 7)."""
-    means = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda j: F.aggregate(m, F.lit(0.0), lambda a, r: a + F.log(clipped(r)[j])) / F.size(m))
-    return F.when(square(m), softmax(means))
+    logs = lambda w: F.transform(w, lambda r: F.transform(clipped(r), lambda x: F.log(x)))
+    means = lambda w: let(logs(w), lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda j: F.aggregate(g, F.lit(0.0), lambda a, r: a + F.get(r, j)) / F.size(g)))
+    return let(m, lambda w: F.when(square(w), softmax(means(w))))
 
 
 def content_probabilities(m: Column) -> Column:
     """Probability of each content: mean over rotations k of P[k, (c - k) mod n], normalised if positive (Eq. 1)."""
-    positions = F.sequence(F.lit(0), F.size(m) - 1)
-    mass = F.transform(positions, lambda c: F.aggregate(positions, F.lit(0.0), lambda a, k: a + F.get(F.get(m, k), F.pmod(c - k, F.size(m)).cast("int"))) / F.size(m))
-    return F.when(square(m), F.when(total(mass) > 0, normalised(mass)).otherwise(mass))
+    def mass(w: Column) -> Column:
+        positions = F.sequence(F.lit(0), F.size(w) - 1)
+        return F.transform(positions, lambda c: F.aggregate(positions, F.lit(0.0), lambda a, k: a + F.get(F.get(w, k), F.pmod(c - k, F.size(w)).cast("int"))) / F.size(w))
+
+    return let(m, lambda w: F.when(square(w), let(mass(w), lambda v: F.when(total(v) > 0, normalised(v)).otherwise(v))))
 
 
 def debiased(observed: Column, prior: Column, least: float = EPSILON) -> Column:
     """Observed over prior, both clipped from below, normalised; null unless the lengths agree and are at least two (Eq. 8)."""
     floor = lambda v: F.transform(v, lambda x: F.greatest(x, F.lit(least)))
-    ratio = F.zip_with(floor(observed), floor(prior), lambda o, p: o / p)
-    return F.when((F.size(observed) == F.size(prior)) & (F.size(observed) >= 2), normalised(ratio))
+    ratio = lambda b: F.zip_with(floor(b["o"]), floor(b["p"]), lambda o, p: o / p)
+    fits = lambda b: (F.size(b["o"]) == F.size(b["p"])) & (F.size(b["o"]) >= 2)
+    return let(F.struct(observed.alias("o"), prior.alias("p")), lambda b: F.when(fits(b), normalised(ratio(b))))
 
 
 def first_max(v: Column) -> Column:
     """0-based position of the first largest element."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return let(v, lambda w: (F.array_position(w, F.array_max(w)) - 1).cast("int"))
 
 
 def restricted_prior(prior: Column, labels: Column) -> Column:
@@ -99,12 +111,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def paired_forms(logits: Column) -> Column:
     """Softmax over two token forms of each letter (first halves, then second halves), forms added up."""
-    p = softmax(logits)
     half = (F.size(logits) / 2).cast("int")
-    return F.when(F.size(logits) % 2 == 0, F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x + y))
+    return F.when(F.size(logits) % 2 == 0, let(softmax(logits), lambda p: F.zip_with(F.slice(p, F.lit(1), half), F.slice(p, half + 1, half), lambda x, y: x + y)))
 
 
 def top_two_tie(v: Column) -> Column:
     """Whether the two largest elements are exactly equal."""
-    s = F.sort_array(v, asc=False)
-    return (F.size(v) >= 2) & (F.get(s, F.lit(0)) == F.get(s, F.lit(1)))
+    return let(F.sort_array(v, asc=False), lambda s: (F.size(s) >= 2) & (F.get(s, F.lit(0)) == F.get(s, F.lit(1))))

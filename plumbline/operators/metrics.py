@@ -39,13 +39,15 @@ def letter_counts(df: DataFrame, by: list[str]) -> DataFrame:
 @metric("accuracy")
 def accuracy(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_total, n_scored, n_correct, accuracy, accuracy_conditional); without scored rows the conditional one is 0."""
-    correct = F.count_if(F.col(ANSWER) == F.col(GOLD))
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.count(ANSWER).alias("n_scored"),
+    counts = letter_counts(df, by)
+    whole = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
+    total, scored, correct = whole(F.lit(True)), whole(F.col("answer").isNotNull()), whole(F.col("answer") == F.col("gold"))
+    return counts.groupBy(*by).agg(
+        total.alias("n_total"),
+        scored.alias("n_scored"),
         correct.alias("n_correct"),
-        F.coalesce(F.try_divide(correct, F.count(F.lit(1))), F.lit(0.0)).alias("accuracy"),
-        F.coalesce(F.try_divide(correct, F.count(ANSWER)), F.lit(0.0)).alias("accuracy_conditional"),
+        F.coalesce(F.try_divide(correct, total), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.try_divide(correct, scored), F.lit(0.0)).alias("accuracy_conditional"),
     )
 
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans import metric_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES: list = []
+_MODULES = [metric_queries]
 
 
 def queries() -> dict[str, Query]:
@@ -23,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship query over one folder of tables."""
-    raise NotImplementedError
+    return metric_queries.debias_grid(spark, folder)
