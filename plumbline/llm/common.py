@@ -2,46 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Separates the fields of a composed key; no canonical text can hold it.
-FIELD_SEP = "\u001f"
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Scan ``folder/name.parquet``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
+from plumbline.sources.scratch import Scratch
+from plumbline.sources.tables import table
 
-class Scratch:
-    """Tables written once and read back, in the shared folder of ``spark.checkpoint.dir``.
+__all__ = ["FIELD_SEP", "Scratch", "option_texts", "seeded_uniform", "table"]
 
-    They cut lineage: what a later stage re-reads after an executor is lost is this table, not a
-    re-evaluated plan. Only where the session names no folder and is local is a temporary one made.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            base = tempfile.mkdtemp(prefix="plumbline-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a scan of what was written."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+#: Separates the fields of a composed key; no canonical text can hold it.
+FIELD_SEP = "\u001f"
 
 
 def option_texts(choices_json: Column) -> Column:
