@@ -183,7 +183,7 @@ def pride(questions: DataFrame, respond: Responder, calibration: DataFrame | Non
     asked = respond(_asked(kept).withColumn("prompt", fanout.direct_prompt(F.col("options")))).crossJoin(F.broadcast(prior))
     labels = _letters(F.col("n_choices"))
     chosen = asked.withColumn("adjusted_choice", V.debiased_choice(F.col("logprobs"), F.col("peprior"), labels)).withColumn("parsed_choice", F.col("adjusted_choice"))
-    stamped = chosen.withColumns({"gate_modal_k": F.lit(modal), "gate_n_total": F.lit(report["n_total"]), "gate_n_evaluated": F.lit(report["n_evaluated"]), "gate_n_excluded": F.lit(report["n_excluded"]), "option_logprobs": F.col("logprobs")})
+    stamped = chosen.withColumns({"gate_modal_k": F.lit(modal), "gate_n_total": F.lit(report["n_total"]).cast("long"), "gate_n_evaluated": F.lit(report["n_evaluated"]).cast("long"), "gate_n_excluded": F.lit(report["n_excluded"]).cast("long"), "option_logprobs": F.col("logprobs")})
     return _probability_result(stamped, "pride", "debiased_probability")
 
 
