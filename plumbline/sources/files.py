@@ -44,8 +44,7 @@ def prompt_folder(folder: str, version: str, required: tuple[str, ...] = ("direc
 def toy_questions(spark: SparkSession, seed: int = 42) -> DataFrame:
     """Ten sums with four options; gold is A in rows 0, 7 and 8 and one of B, C and D in the others."""
     rng, rows = random.Random(seed), []
-    for i in range(10):
-        a, b = rng.randint(2, 9), rng.randint(2, 9)
+    for i, (a, b) in enumerate(rng.sample([(a, b) for a in range(2, 10) for b in range(a, 10)], 10)):
         wrong = [a + b + d for d in (1, -1, 2)]
         rng.shuffle(wrong)
         gold = 0 if i in (0, 7, 8) else rng.choice((1, 2, 3))
