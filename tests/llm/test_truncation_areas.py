@@ -52,9 +52,9 @@ def test_judged_replies(spark):
 def test_option_needs_a_word_boundary(spark):
     ddl = "response_id long, provider string, model_name string, question_id string, max_tokens int, usage_info struct<completion_tokens:int>, raw_text string"
     questions = spark.createDataFrame([("q", '[{"text": "ports"}]')], "question_id string, choices_json string")
-    rows = [(1, "p", "m", "q", 1, None, "the airports"), (2, "p", "m", "q", 1, None, "the ports")]
+    rows = [(1, "p", "m", "q", 1, None, "the airports"), (2, "p", "m", "q", 1, None, "the ports"), (3, "p", "m", "q", 1, None, 'I say "Ports"')]
     got = {r.response_id: r.truncated for r in tr.judged_replies(spark.createDataFrame(rows, ddl), questions).collect()}
-    assert got == {1: True, 2: False}
+    assert got == {1: True, 2: False, 3: False}
 
 
 def test_rates_and_limits_on_the_tables(spark):
