@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.parsing import OK, parse_replies
+from plumbline.schemas import RESULTS_DDL
 
 CORRECT, INCORRECT, UNSCORABLE = "score_correct", "score_incorrect", "score_unscorable"
 #: Reasons of answers that no parser made; such rows are never parsed again.
@@ -48,3 +49,24 @@ def reparse(results: DataFrame, options: str = "options") -> DataFrame:
     replaced = ["parsed_choice", "parse_status", "normalized_text", "parse_reason", "is_correct", "score_status"]
     again = parsed_and_scored(results.where(eligible).drop(*replaced), options=options)
     return results.where(~eligible).unionByName(again.select(*results.columns))
+
+
+def stamped(df: DataFrame, condition: dict[str, str], **trace: object) -> DataFrame:
+    """Result rows with the identity columns of their condition and the constant trace columns of the run."""
+    return df.withColumns({k: F.lit(v) for k, v in {**condition, **trace}.items()})
+
+
+def assembled(df: DataFrame) -> DataFrame:
+    """Rows in the wide result schema: columns of other methods are null, columns outside the schema are dropped.
+
+    answer_status is success exactly where a final choice exists; transport_status is null where no call was made.
+    """
+    wide = df.sparkSession.createDataFrame([], RESULTS_DDL).schema
+    cells = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wide]
+    out = df.select(*cells)
+    return out.withColumn("answer_status", answer_status(F.col("parsed_choice")))
+
+
+def stamped_by_table(df: DataFrame, conditions: DataFrame) -> DataFrame:
+    """The same for many conditions at once: a join with the condition table, one row for each condition."""
+    return df.join(conditions, [c for c in ("benchmark_name", "method_name", "model_name") if c in df.columns and c in conditions.columns])

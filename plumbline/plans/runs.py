@@ -261,3 +261,31 @@ def resume(questions: DataFrame, sink_path: str, schema: str, every: int, proces
             raise ValueError("results do not belong to the questions of the chunk")
         out.write.mode("append").parquet(sink_path)
     return (last if last is not None else -1) + 1
+
+
+def snapshot(selection: DataFrame, prompts: dict[str, str], folder: str, name: str) -> dict[str, str]:
+    """Archive a selection and the prompts in the run; returns their digests for the manifest."""
+    from plumbline.sources.artifacts import content_digest
+
+    selection.write.mode("overwrite").parquet(f"{folder}/inputs/{name}")
+    write_json(Path(folder, "inputs", f"{name}_prompts.json"), prompts)
+    return {f"{name}.questions": content_digest(selection), f"{name}.prompts": digest(prompts)}
+
+
+def evaluation_report(results: DataFrame, state: RunState, metric_names: list[str], folder: str) -> dict:
+    """Metrics of all completed conditions in one grouped pass, statuses of all, written once.
+
+    A condition with half or more failed calls counts as ``infra_failure``; the run is complete iff none failed.
+    """
+    from plumbline.operators import metrics
+    from plumbline.sources.artifacts import write_report
+
+    completed = state.evaluable()
+    rows = results.where(F.col("condition_id").isin(completed))
+    health = {r["condition_id"]: r["status"] for r in metrics.transport_health(rows, ["condition_id"], F.coalesce(F.col("transport_status") == "failure", F.lit(False))).collect()}
+    values = {r["condition_id"]: {k: v for k, v in r.asDict().items() if k != "condition_id"} for r in metrics.evaluate(rows, ["condition_id"], metric_names).collect()}
+    status = {c: health.get(c, s) if s == "completed" else s for c, s in sorted(state.status.items())}
+    body = {"metrics": sorted(metric_names), "conditions": {c: {"status": s, "values": values.get(c)} for c, s in status.items()}, "complete": not any(s in ("failed", "infra_failure") for s in status.values())}
+    report = {"evaluation_id": short_id("eval", body), **body}
+    write_report(Path(folder, "evaluation_report.json"), report)
+    return report

@@ -74,6 +74,16 @@ def call_with_retries(call: Callable[[str], str], prompt: str, attempts: int = 3
     raise AssertionError("unreachable")
 
 
+_CLIENTS: dict[str, Callable[[str], str]] = {}
+
+
+def shared_client(key: str, make: Callable[[], Callable[[str], str]]) -> Callable[[str], str]:
+    """One client per Python worker and key (model and execution mode), however many partitions it serves."""
+    if key not in _CLIENTS:
+        _CLIENTS[key] = make()
+    return _CLIENTS[key]
+
+
 def client_responder(make_client: Callable[[], Callable[[str], str]], concurrency: int = 4, **retry) -> Callable[[DataFrame], DataFrame]:
     """A responder around a Python client: one client for each partition, ``concurrency`` calls at a time, order kept."""
 

@@ -166,3 +166,82 @@ def test_streams(spark, tmp_path):
     assert health.agg(F.sum("n_total")).first()[0] == rows.count()
     counted = results_stream.condition_counts(stream.select(F.col("provider").alias("condition_id"), F.col("raw_text").alias("parsed_choice"), F.lit("B").alias("correct_option")))
     assert results_stream.run_once(counted, "counted", str(tmp_path / "c3")).agg(F.sum("n_total")).first()[0] == rows.count()
+
+
+class FakeBatches:
+    def __init__(self, folder, state="completed"):
+        self.folder, self.state, self.submitted = folder, state, 0
+
+    def submit(self, requests_folder):
+        self.submitted += 1
+        self.requests = requests_folder
+        return "job"
+
+    def poll(self, job):
+        self.polls = getattr(self, "polls", 0) + 1
+        return self.state if self.polls > 2 else "running"
+
+    def fetch(self, job):
+        from pathlib import Path
+
+        ids = [json.loads(line)["custom_id"] for p in Path(self.requests).glob("*.json") for line in p.read_text().splitlines()]
+        out = Path(self.folder, "replies.json")
+        out.write_text("".join(json.dumps({"custom_id": i, "raw_text": "Answer: B"}) + "\n" for i in sorted(ids)[:-1]))
+        return str(out)
+
+
+def test_batch_jobs(spark, tmp_path):
+    from plumbline.sources import batch_jobs
+
+    misses = spark.createDataFrame([(f"k{i}", f"prompt {i}") for i in range(5)], "cache_key string, prompt string")
+    client, waits = FakeBatches(str(tmp_path)), []
+    out = batch_jobs.run_batch(misses, client, str(tmp_path), sleep=waits.append).collect()
+    assert sorted(r.status for r in out) == ["failure"] + ["success"] * 4 and waits == [30.0, 30.0]
+    batch_jobs.run_batch(misses.repartition(3), client, str(tmp_path), sleep=waits.append).count()
+    assert client.submitted == 1
+    batch_jobs.clear_state(str(tmp_path))
+    bad = batch_jobs.run_batch(misses, FakeBatches(str(tmp_path), "failed"), str(tmp_path), sleep=waits.append)
+    assert {r.status for r in bad.collect()} == {"failure"}
+    assert batch_jobs.run_batch(misses.where(F.lit(False)), client, str(tmp_path)).count() == 0
+
+
+def test_priors(spark, tmp_path):
+    from plumbline.sources import priors
+
+    q = files.toy_questions(spark)
+    settings = dict(condition_id="c", seed=1, temperature=0.0, max_tokens=5, prompt_version="v1", n_choices=4)
+    key = priors.prior_key(q, **settings)
+    assert key == priors.prior_key(q.repartition(3), **settings) != priors.prior_key(q.where("ordinal > 2"), **settings)
+    calls = []
+    compute = lambda: calls.append(1) or {"A": 0.7, "B": 0.3}
+    assert priors.load_or_compute(str(tmp_path), key, compute) == priors.load_or_compute(str(tmp_path), key, compute) == {"A": 0.7, "B": 0.3}
+    assert len(calls) == 1
+    path = next(tmp_path.glob("prior_*.json"))
+    path.write_text(path.read_text().replace("0.7", "0.8"))
+    with pytest.raises(artifacts.ArtifactError):
+        priors.load_or_compute(str(tmp_path), key, compute)
+
+
+def test_assembled_rows_report_and_snapshot(spark, tmp_path):
+    from plumbline.operators import methods, scoring
+    from plumbline.sources import responders
+
+    q = files.toy_questions(spark)
+    digests = runs.snapshot(q, {"direct_mcq": "x"}, str(tmp_path), "toy")
+    assert set(digests) == {"toy.questions", "toy.prompts"}
+    parts = []
+    for name in ("direct_mcq", "cyclic_permutation"):
+        identity = {c: f"{c}-{name}" for c in artifacts.IDENTITY_COLUMNS}
+        parts.append(scoring.assembled(scoring.stamped(methods.run_method(name, q, responders.dummy), identity, run_id="r", benchmark_name="toy")))
+    results = parts[0].unionByName(parts[1])
+    artifacts.write_results(results, str(tmp_path / "res"))
+    state = runs.RunState(tmp_path, ["condition_id-direct_mcq", "condition_id-cyclic_permutation", "gone"])
+    for c in list(state.status):
+        state.set(c, "failed" if c == "gone" else "completed")
+    back = artifacts.read_results(spark, str(tmp_path / "res"), results._jdf.schema().toDDL(), list(state.status))
+    report = runs.evaluation_report(back, state, ["accuracy", "mad"], str(tmp_path))
+    assert report["conditions"]["condition_id-direct_mcq"]["values"]["accuracy"] == pytest.approx(0.3)
+    assert report["conditions"]["gone"] == {"status": "failed", "values": None} and not report["complete"]
+    assert runs.evaluation_report(back, state, ["accuracy", "mad"], str(tmp_path)) == report
+    with pytest.raises(artifacts.ArtifactError):
+        runs.evaluation_report(back, state, ["accuracy"], str(tmp_path))
