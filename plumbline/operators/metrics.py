@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import counted_mad_bootstrap, exact_mad_bootstrap, interval_udf
+from plumbline.sources.scratch import Scratch
 
 GOLD, ANSWER = "correct_option", "parsed_choice"
 _METRICS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
 
 
 def metric(name: str):
-    """Register a metric: a function (rows, group columns) -> one row for each group."""
+    """Register a metric: a function (letter counts, group columns) -> one row for each group."""
 
     def register(function):
         if name in _METRICS:
@@ -32,7 +33,9 @@ def metric(name: str):
 
 
 def letter_counts(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, gold, answer, n)."""
+    """(by, gold, answer, n) of result rows; such a table is returned as it is, so metrics take either."""
+    if {"gold", "answer", "n"} <= set(df.columns) and GOLD not in df.columns:
+        return df
     return df.groupBy(*by, F.col(GOLD).alias("gold"), F.col(ANSWER).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -200,11 +203,17 @@ def paired(df: DataFrame, question: str, gold: str, first: str, second: str) ->
     )
 
 
+def counted(df: DataFrame, by: list[str]) -> DataFrame:
+    """The letter counts, written once: the rows are read a single time however many metrics follow."""
+    return Scratch(df.sparkSession).keep(letter_counts(df, by), "letter-counts")
+
+
 def evaluate(df: DataFrame, by: list[str], names: list[str] | None = None) -> DataFrame:
     """All metrics of the names, in name order, one row for each group; a later metric's column replaces an earlier one's."""
-    out = df.select(*by).distinct()
+    counts = counted(df, by)
+    out = counts.select(*by).distinct()
     for name in sorted(names or _METRICS):
-        part = _METRICS[name](df, by)
+        part = _METRICS[name](counts, by)
         out = _join(out.drop(*[c for c in part.columns if c not in by]), part, by)
     return out
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions import vectors as V
 from plumbline.functions.options import build_choices, labelled, letter
@@ -29,9 +28,9 @@ def rotation_traces(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as rotation traces: the lines of an order are its rotations, as many as the order has options."""
     t = table(spark, folder, "lineitem")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    picks = t.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))).select("l_orderkey", F.struct(*order).alias("o"), F.when(F.col("l_suppkey") % 10 != 0, letter((F.col("l_partkey") % F.col("n")).cast("int"))).alias("pick"), "n")
-    gathered = picks.groupBy("l_orderkey", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "pick"))), lambda x: x["pick"]).alias("per_rotation_choices"))
-    return gathered.select(F.col("l_orderkey").alias("question_id"), "per_rotation_choices", (F.col("l_orderkey") % F.col("n")).cast("int").alias("correct_index"))
+    lines = t.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("lines"))
+    pick = lambda x: F.when(x["l_suppkey"] % 10 != 0, letter((x["l_partkey"] % F.size("lines")).cast("int")))
+    return lines.select(F.col("l_orderkey").alias("question_id"), F.transform("lines", pick).alias("per_rotation_choices"), (F.col("l_orderkey") % F.size("lines")).cast("int").alias("correct_index"))
 
 
 def logits(spark: SparkSession, folder: str) -> DataFrame:
