@@ -113,9 +113,8 @@ def one_option_count(recs: DataFrame) -> DataFrame:
 
 def cell_metrics(answered: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_questions, accuracy, rstd, mad) of each cell; percentages."""
-    answered = M.counted(answered, by)
-    acc = M.accuracy(answered, by).select(*by, F.col("n_total").alias("n_questions"), (F.col("accuracy") * 100).alias("accuracy"))
-    return M._join(M._join(acc, M.recall_rstd(answered, by), by), M.mad(answered, by), by)
+    every = M.letter_metrics(answered, by)
+    return every.select(*by, F.col("n_total").alias("n_questions"), (F.col("accuracy") * 100).alias("accuracy"), "rstd", "mad")
 
 
 def by_alpha(cells: DataFrame) -> DataFrame:

@@ -13,10 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import vectors as V
 from plumbline.functions.stats import counted_mad_bootstrap, exact_mad_bootstrap, interval_udf
 from plumbline.sources.scratch import Scratch
 
 GOLD, ANSWER = "correct_option", "parsed_choice"
+#: Metrics that one pass gives, with their columns.
+_BUILT_IN = {"accuracy": ["n_total", "n_scored", "n_correct", "accuracy", "accuracy_conditional"], "mad": ["mad"], "recall_rstd": ["rstd"]}
 _METRICS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
 
 
@@ -193,6 +196,42 @@ def status_report(conditions: DataFrame) -> DataFrame:
     return conditions.agg(*[count(s).alias(f"n_{s}") for s in ("pending", "completed", "failed", "gated", "infra_failure")], (failed == 0).alias("complete"))
 
 
+def letter_metrics(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_total, n_scored, n_correct, accuracy, accuracy_conditional, mad, rstd) of all groups in one pass.
+
+    A group's table of letter pairs has at most 27 x 27 entries, so it is gathered and measured in one row.
+    """
+    where = lambda t, p: F.aggregate(F.filter(t, p), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+
+    def sides(t: Column, label: Column) -> Column:
+        answered = lambda x: x["answer"].isNotNull() & (x["gold"] == label)
+        return F.struct(where(t, lambda x: x["answer"] == label).alias("pred"), where(t, answered).alias("gold"), where(t, lambda x: answered(x) & (x["answer"] == label)).alias("right"))
+
+    letters = F.array_distinct(F.flatten(F.transform("t", lambda x: F.array(x["gold"], x["answer"]))))
+    gathered = letter_counts(df, by).groupBy(*by).agg(F.collect_list(F.struct("gold", "answer", "n")).alias("t"))
+    measured = gathered.select(
+        *by,
+        where(F.col("t"), lambda x: F.lit(True)).alias("n_total"),
+        where(F.col("t"), lambda x: x["answer"].isNotNull()).alias("n_scored"),
+        where(F.col("t"), lambda x: x["answer"] == x["gold"]).alias("n_correct"),
+        F.transform(F.filter(letters, lambda x: x.isNotNull() & (x != "")), lambda x: sides(F.col("t"), x)).alias("s"),
+    )
+    gap = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.abs(x["pred"] - x["gold"]))
+    recall = F.transform(F.filter("s", lambda x: x["gold"] > 0), lambda x: 100.0 * x["right"] / x["gold"])
+    mean = lambda r: V.total(r) / F.size(r)
+    spread = V.let(recall, lambda r: V.let(mean(r), lambda m: F.sqrt(mean(F.transform(r, lambda x: (x - m) * (x - m))))))
+    return measured.select(
+        *by,
+        "n_total",
+        "n_scored",
+        "n_correct",
+        F.coalesce(F.try_divide("n_correct", "n_total"), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.try_divide("n_correct", "n_scored"), F.lit(0.0)).alias("accuracy_conditional"),
+        F.when(F.col("n_scored") > 0, 100.0 * gap / (F.col("n_scored") * F.size("s"))).alias("mad"),
+        F.when(F.exists("s", lambda x: x["gold"] > 0), spread).alias("rstd"),
+    )
+
+
 def paired(df: DataFrame, question: str, gold: str, first: str, second: str) -> DataFrame:
     """One row: pairs, flips, right to wrong, wrong to right, both wrong but different."""
     a, b, g = F.col(first), F.col(second), F.col(gold)
@@ -210,6 +249,9 @@ def counted(df: DataFrame, by: list[str]) -> DataFrame:
 
 def evaluate(df: DataFrame, by: list[str], names: list[str] | None = None) -> DataFrame:
     """All metrics of the names, in name order, one row for each group; a later metric's column replaces an earlier one's."""
+    if set(names or _METRICS) <= set(_BUILT_IN):
+        kept = [c for n in sorted(names or _METRICS) for c in _BUILT_IN[n]]
+        return letter_metrics(df, by).select(*by, *kept)
     counts = counted(df, by)
     out = counts.select(*by).distinct()
     for name in sorted(names or _METRICS):

@@ -11,6 +11,7 @@ from plumbline.operators.scoring import parsed_and_scored
 from plumbline.plans import lenses, runs
 from plumbline.sources import responders
 from plumbline.sources.artifacts import identity_problems, membership_problems
+from plumbline.sources.scratch import Scratch
 from plumbline.sources.tables import table
 from plumbline.streaming import results_stream
 
@@ -259,20 +260,16 @@ def exact_stem_regrade(spark: SparkSession, folder: str) -> DataFrame:
 
 def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Structured Streaming over the response table: failures by provider, equal to the batch result."""
-    import tempfile
+    import os
+    import uuid
 
     t = table(spark, folder, "model_responses")
     path = f"{folder}/model_responses.parquet"
     reader = spark.readStream.schema(t.schema)
-    import os
-
     stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "model_responses.parquet").parquet(folder)
     counts = stream.groupBy("provider").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("status") == "failure").alias("n_failed"))
-    from plumbline.sources.scratch import Scratch
-
     scratch = Scratch(spark)
-    name = "streamed_" + os.path.basename(tempfile.mktemp(prefix="q")).replace("-", "_")
-    return results_stream.run_once(counts, name, f"{scratch.root}/stream")
+    return results_stream.run_once(counts, f"streamed_{uuid.uuid4().hex}", f"{scratch.root}/stream")
 
 
 QUERIES = {

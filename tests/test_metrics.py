@@ -107,6 +107,15 @@ def test_evaluate_and_python_metric(spark):
         M.metric("mad")(lambda *_: None)
 
 
+def test_one_pass_equals_single_metrics(spark):
+    cases = [("A", "A"), ("B", "C"), ("C", None), ("A", "B"), ("D", "D"), ("A", "A"), ("", "A"), (None, "B")]
+    df = results(spark, cases).unionByName(results(spark, [("A", None)]).withColumn("cond", F.lit("none"))).unionByName(results(spark, [("B", "B")]).withColumn("cond", F.lit(None).cast("string")))
+    one = {r.cond: r for r in M.letter_metrics(df, ["cond"]).collect()}
+    for metric, column in ((M.accuracy, "accuracy"), (M.accuracy, "n_scored"), (M.mad, "mad"), (M.recall_rstd, "rstd")):
+        for r in metric(df, ["cond"]).collect():
+            assert one[r.cond][column] == pytest.approx(r[column]) if r[column] is not None else one[r.cond][column] is None, (column, r.cond)
+
+
 def test_paired(spark):
     df = spark.createDataFrame([("q", "A", "A", "B"), ("r", "A", "B", "A"), ("s", "A", "B", "C"), ("t", "A", None, None)], "q string, g string, a string, b string")
     assert tuple(M.paired(df, "q", "g", "a", "b").first()) == (4, 3, 1, 1, 1)

@@ -245,3 +245,17 @@ def test_assembled_rows_report_and_snapshot(spark, tmp_path):
     assert runs.evaluation_report(back, state, ["accuracy", "mad"], str(tmp_path)) == report
     with pytest.raises(artifacts.ArtifactError):
         runs.evaluation_report(back, state, ["accuracy"], str(tmp_path))
+
+
+def test_scratch_is_written_and_released(spark):
+    from pathlib import Path
+
+    from plumbline.sources.scratch import Scratch
+
+    scratch = Scratch(spark)
+    kept = scratch.keep(spark.range(5), "five")
+    assert kept.count() == 5 and kept.schema == spark.range(1).schema
+    root = Path(scratch.root.removeprefix("file://"))
+    assert root.exists()
+    scratch.release()
+    assert not root.exists()
