@@ -254,7 +254,7 @@ def test_scratch_is_written_and_released(spark):
 
     scratch = Scratch(spark)
     kept = scratch.keep(spark.range(5), "five")
-    assert kept.count() == 5 and kept.schema == spark.range(1).schema
+    assert kept.count() == 5 and kept.columns == ["id"]
     root = Path(scratch.root.removeprefix("file://"))
     assert root.exists()
     scratch.release()
