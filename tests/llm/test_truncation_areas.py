@@ -117,3 +117,9 @@ def test_found_on_the_tables(spark):
     none = {r.doc_id for r in table(spark, SF, "document_labels").where("area = 'none'").collect()}
     assert len(none & {r.doc_id for r in got}) <= len(none) / 2
     assert {r.area for r in sa.p8_composition(spark, SF).collect()} <= {r.area for r in table(spark, SF, "subject_areas").collect()}
+
+
+def test_found_equals_sql(spark):
+    from tests.conftest import oracle_rows, same_rows
+
+    assert same_rows(tr.p1_found(spark, SF).toPandas(), oracle_rows(tr.ORACLE_SQL["p1_found"]))
