@@ -3,8 +3,8 @@
 Lengths: for each source (provider and model) a mixture of two log-normals is fitted by maximum
 likelihood (EM) in which replies at candidate limits are right-censored with their own posterior. Limits
 are lengths that many more replies share than their neighbours. Endings: each reply is read to its end;
-what it leaves open and how it ends is evidence for or against a cut. Log-odds of both are added; endings
-that decide on their own outweigh any length.
+what it leaves open and how it ends is evidence for or against a cut. Log-odds of both are added, but every
+ending outweighs any length, so endings alone decide and lengths only rank (README, problem 1).
 """
 
 from __future__ import annotations
