@@ -24,8 +24,9 @@ from plumbline.llm.common import Scratch, table
 
 #: Consecutive words that make a leak (TESTDATA.md).
 LEAST_WORDS = 12
-#: Masks over one window of words: 1 is compared, 0 is ignored.
-MASKS = ("111010110111", "110111101011", "101101111101")
+#: Masks over one window of words: 1 is compared, 0 is ignored. An overlap in which a replaced word costs 3 starts with 4
+#: equal words before the first replaced word and 7 before the second: so its first 7 equal words are one of these.
+MASKS = ("11111110", "11110111", "11111011", "11111101")
 #: Bits of the seed bitmap: 2 MB, whatever the number of test items.
 BITMAP_BITS = 24
 
@@ -188,8 +189,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, masks: tuple[str, ..
 
     ``documents`` is (doc_id, text), ``items`` (item_id, text). ``run_words`` is the longest run of equal
     consecutive words; ``same_words`` and ``replaced_words`` describe the best overlap when single words
-    may differ (a difference costs ``penalty`` equal words). Every run of ``len(mask)`` words is found, as
-    its window hits under any mask. Null ids and null, empty or shorter texts give nothing; repeated rows
+    may differ (a difference costs ``penalty`` equal words); an overlap of LEAST_WORDS equal words goes
+    before others. Every run of ``len(mask)`` words is found, as its window hits under any mask. With MASKS
+    and a penalty of 3 or more every overlap of 12 equal words is found, wherever words were replaced. Null ids and null, empty or shorter texts give nothing; repeated rows
     of one id are one document.
     """
     if len({len(m) for m in masks}) != 1:
@@ -209,7 +211,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, masks: tuple[str, ..
     )
     pairs = diagonals.join(hits.select("doc_id", "words"), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "shift", "words", "item_text")
     checked = pairs.mapInArrow(_verified(penalty), "doc_id long, item_id long, run_words int, same_words int, replaced_words int")
-    best = F.max(F.struct((F.col("same_words") - penalty * F.col("replaced_words")).alias("score"), "same_words", "replaced_words"))
+    best = F.max(F.struct((F.col("same_words") >= LEAST_WORDS).alias("long"), (F.col("same_words") - penalty * F.col("replaced_words")).alias("score"), "same_words", "replaced_words"))
     return checked.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), best.alias("best")).select("doc_id", "item_id", "run_words", "best.same_words", "best.replaced_words")
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 from fractions import Fraction
 
@@ -78,6 +79,31 @@ def test_every_run_is_found_and_bitmap_decides_nothing(spark):
         assert {k for k, r in leaks(spark, docs, items, bitmap_bits=bits).items() if r.run_words >= 12} == brute()
 
 
+def test_every_tolerant_overlap_is_found(spark):
+    def overlaps(doc, item):
+        return [lk._overlap(doc, item, shift, 3)[1] for shift in range(-len(item) + 1, len(doc))]
+
+    docs, expected = [], set()
+    for n in range(12, 18):
+        for k in range(4):
+            for at in itertools.combinations(range(n), k):
+                doc = ["other" if i in at else w for i, w in enumerate(W[:n])]
+                docs.append((len(docs), " ".join(doc), "x"))
+                if max(overlaps(doc, W[:n])) >= 12:
+                    expected.add((docs[-1][0], n))
+    items = [(n, " ".join(W[:n])) for n in range(12, 18)]
+    got = leaks(spark, docs, items)
+    own = {(d, len(t.split())) for d, t, _ in docs}
+    assert {k for k, r in got.items() if k in own and r.same_words >= 12} == expected and len(expected) == 620
+
+
+def test_a_short_run_elsewhere_hides_no_overlap(spark):
+    item = W[:30]
+    doc = W[:4] + ["other"] + W[5:9] + ["other"] + W[10:14] + ["filler"] * 9 + W[16:27]
+    got = leaks(spark, [(1, " ".join(doc), "x")], [(1, " ".join(item))])[1, 1]
+    assert (got.run_words, got.same_words, got.replaced_words) == (11, 12, 2)
+
+
 def test_sql(spark):
     for module, names in ((lk, lk.ORACLE_SQL), (mx, mx.ORACLE_SQL)):
         for name, sql in names.items():
