@@ -116,6 +116,13 @@ def leakage_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return selection.overlap(calibration, evaluation, "key").select("ordinal", "subject")
 
 
+def leakage_semantic(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of toy_normalized whose stem and options, in any order and form, are those of a held-out question (OP-J5)."""
+    key = identity.semantic_identity(F.col("question_text"), F.transform("choices", lambda o: o["text"])).alias("key")
+    calibration = lenses.questions(spark, folder).select("ordinal", "subject", key)
+    return selection.overlap(calibration, lenses.eval_questions(spark, folder).select(key), "key").select("ordinal", "subject")
+
+
 def chunk_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return selection.chunks(table(spark, folder, "toy_normalized").select("ordinal"), 128)
 
@@ -276,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_questions, option_maps, gold_letters, validation_report, duplicate_id_rows, null_option_scan, permutation_filter, choice_counts, modal_choice_count, modal_k_gate, dedup_ladder, strict_groups,
-        strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, calibration_disjoint, leakage_overlap, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
+        strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, calibration_disjoint, leakage_overlap, leakage_semantic, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
         parse_replies, parse_summary, single_letter_replies, text_match, finish_reasons, request_cache_misses, direct_dummy, shuffled_dummy, cyclic_dummy, cyclic_traces, logprob_dummy, cyclic_logprob_dummy, pride_dummy,
         two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, streamed_counts,
     )
