@@ -32,7 +32,7 @@ def mad_by_condition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mad_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.mad_bootstrap(lenses.results(spark, folder), BY, resamples=2000)
+    return metrics.mad_bootstrap(lenses.results(spark, folder), BY)
 
 
 def recall_by_letter(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import metrics
+from plumbline.plans import lenses
+from plumbline.plans import metric_queries as MQ
 from plumbline.plans import question_queries as Q
 from plumbline.sources.tables import table
 from tests.conftest import SF
@@ -19,3 +22,8 @@ def test_leakage_by_meaning_takes_all_questions(spark, tmp_path):
     held.write.parquet(f"{tmp_path}/eval_items.parquet")
     got = {r.ordinal for r in Q.leakage_semantic(spark, str(tmp_path)).collect() if r.ordinal >= 10_000_000}
     assert got == {r.ordinal for r in copies.collect()} and got
+
+
+def test_bootstrap_takes_all_resamples(spark):
+    full = metrics.mad_bootstrap(lenses.results(spark, SF), MQ.BY, resamples=10_000)
+    assert sorted(MQ.mad_bootstrap(spark, SF).collect()) == sorted(full.collect())
