@@ -16,6 +16,8 @@ from plumbline.sources.tables import table
 from plumbline.streaming import results_stream
 
 SUBJECTS = ["wave_mechanics", "contract_law", "tonal_harmony"]
+#: Least share of questions with the modal number of options; 0.78 to 0.81 of the test tables have it.
+PRIDE_THRESHOLD = 0.75
 
 
 def _digest(array) -> F.Column:
@@ -209,8 +211,10 @@ def cyclic_logprob_dummy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pride_dummy(spark: SparkSession, folder: str) -> DataFrame:
-    four = _one_each(spark, folder).where(F.col("n_choices") == 4)
-    out = methods.run_method("pride", four, responders.dummy, calibration=selection.hash_sample(four, 100, 42))
+    """The method's own gate leaves out questions without the modal number of options: about a fifth of the test tables."""
+    every = _one_each(spark, folder)
+    calibration = selection.hash_sample(every.where(F.col("n_choices") == 4), 100, 42)
+    out = methods.run_method("pride", every, responders.dummy, calibration=calibration, threshold=PRIDE_THRESHOLD)
     return out.select("question_id", F.round(F.element_at("peprior", "A"), 6).alias("prior_a"), F.col("gate_n_evaluated").alias("n_evaluated"))
 
 

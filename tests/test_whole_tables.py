@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import metrics
+from plumbline.operators import methods, metrics
 from plumbline.plans import lenses
 from plumbline.plans import metric_queries as MQ
 from plumbline.plans import question_queries as Q
@@ -27,3 +27,12 @@ def test_leakage_by_meaning_takes_all_questions(spark, tmp_path):
 def test_bootstrap_takes_all_resamples(spark):
     full = metrics.mad_bootstrap(lenses.results(spark, SF), MQ.BY, resamples=10_000)
     assert sorted(MQ.mad_bootstrap(spark, SF).collect()) == sorted(full.collect())
+
+
+def test_pride_gate_sees_all_questions(spark, monkeypatch):
+    seen, run = [], methods.run_method
+    monkeypatch.setattr(methods, "run_method", lambda *a, **k: seen.append(run(*a, **k)) or seen[-1])
+    rows = Q.pride_dummy(spark, SF).count()
+    gate = seen[0].first()
+    assert gate.gate_n_evaluated == rows and gate.gate_n_excluded > 0
+    assert gate.gate_n_total == Q._one_each(spark, SF).count() == rows + gate.gate_n_excluded
