@@ -1,10 +1,15 @@
 """Problem 1: replies cut off by limits.
 
-Lengths: for each source (provider and model) a mixture of two log-normals is fitted by maximum
-likelihood (EM) in which replies at candidate limits are right-censored with their own posterior. Limits
-are lengths that many more replies share than their neighbours. Endings: each reply is read to its end;
-what it leaves open and how it ends is evidence for or against a cut. Log-odds of both are added, but every
-ending outweighs any length, so endings alone decide and lengths only rank (README, problem 1).
+Lengths: for each source (provider and model) a mixture of two log-normals is fitted by maximum likelihood (EM)
+in which replies at candidate limits are right-censored with their own posterior. Limits are lengths that many
+more replies share than their neighbours. The censoring posterior at a reply's length is the prior of its cut;
+away from limits, and where the token budget is used up, the prior is a rate of the source, fitted as well.
+
+Endings: TESTDATA.md settles most of them (what is left open or marked is cut, a finished sentence is whole). The
+others are weak evidence: a bare end, a letter or figure in running text, an end that no known question can
+explain. Each has a likelihood ratio, and so has the finish reason; both are estimated for the source from its
+settled replies and its limits. Log-odds of prior and evidence are added, and a reply is cut where they are
+positive: of two replies with the same weak ending the one at a limit may be cut and the other whole.
 """
 
 from __future__ import annotations
@@ -21,17 +26,24 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, option_texts, table
 
-#: Log-odds of a cut given the ending. The length's log-odds are held within LENGTH_BOUND.
-EVIDENCE = {"open": 9.0, "marked": 9.0, "bare": 6.0, "unknown": 4.0, "whole": -9.0}
-LENGTH_BOUND = 3.0
-#: A limit is a length with at least this many replies and this many times its neighbours' level.
-LIMIT_ROWS, LIMIT_RATIO, NEIGHBOURS = 8, 6.0, 15
+#: Endings that TESTDATA.md settles, and the log-odds they stand for.
+CUT, WHOLE, SETTLED = ("open", "marked"), ("sentence", "markup", "letter", "figure", "option"), 40.0
+#: Endings that leave it to the posterior. A "loose" letter or figure stands in running text; "quoted" and
+#: "unmatched" are bare ends of replies without a known question, by whether some question has that option text.
+WEAK = ("bare", "loose_letter", "loose_figure", "quoted", "unmatched")
+ENDINGS = (*CUT, *WHOLE, *WEAK)
+REASONS = ("length", "done", "other")
+#: A limit is a length with at least this many replies (fewer show nothing) and this many times its neighbours' level.
+LIMIT_ROWS, LIMIT_RATIO, NEIGHBOURS = 4, 6.0, 15
 #: Of the replies at a limit at least this share doesn't end whole; a fixed phrase is no limit.
 LIMIT_UNFINISHED = 0.3
-#: Chance of a cut away from any limit.
-BASE_RATE = 0.02
-#: A single capital is an answer letter from A to here; later ones only after a cue or alone.
-LAST_LETTER = "H"
+#: Prior of a source's rate of cuts away from limits: mean and weight in replies; the same for used-up token budgets.
+RATE_PRIOR, BUDGET_PRIOR = (0.05, 20.0), (0.5, 4.0)
+#: Shares of whole replies that quote an option in words no row of the question has, and of quoted options that no
+#: known question has; share of cuts that stop where some option text happens to end.
+MISQUOTED, UNSEEN, ACCIDENT = 1e-4, 0.05, 0.02
+#: Weight, in replies, of the pooled share with which the shares of endings and reasons are smoothed.
+SMOOTH = 20.0
 
 _TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>")
 _PARTIAL_TAG = re.compile(r"</?[A-Za-z]?[^<>\n]*$")
@@ -41,6 +53,13 @@ _SENTENCE = re.compile(r"[.!?。！？][\"'”’»)\]*_`]*$")
 _LIST_MARK = re.compile(r"(?:\n|^\s*[-*]\s*)\d+[.)]$")
 _FIGURE = re.compile(r"\d[%°€$]?$")
 _CLOSERS = re.compile(r"[\"'”’»)\]}*_`\s]+$")
+_NUMBER = re.compile(r"[\d.,%°€$]+$")
+_NAMING = re.compile(r"(?i)(?:^|\n|[.!?:])\W*(?:[A-Z][.)]|(?:[^\W_]+\W+){0,2}[^\W_]+)$")
+_DRESS = " \t*_(\"'`[{“«-−+$€"
+_LABEL = re.compile(r"^\W*[A-Z][.)]\s+")
+_CUE = re.compile(r"(?:^|[.!?]\s+)\W*(?:[^\W_]+\s+)?[^\W_]+:\s+")
+_INNER_END = re.compile(r"[.!?]\s")
+_WORD = re.compile(r"[^\W_]+")
 _PAIRS = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _OPENERS = set(_PAIRS.values())
 
@@ -84,7 +103,7 @@ def left_open(text: str) -> bool:
 
 
 def ending(text: str) -> str:
-    """What the end of a reply says: open, marked (as cut), whole, or bare (only an option text could make it whole)."""
+    """What the end of a reply says: one of CUT, of WHOLE, a loose letter or figure, or bare (only an option text could make it whole)."""
     end = text.rstrip()
     if not end:
         return "bare"
@@ -93,41 +112,60 @@ def ending(text: str) -> str:
     if left_open(end):
         return "open"
     if end.endswith(("…", "...")):
-        return "bare"
-    if end[-1] == ">" and _TAG.search(end):
-        return "whole"
-    if end[-1] in "}`" or end.endswith("**"):
-        return "whole"
+        return "ellipsis"
+    if (end[-1] == ">" and _TAG.search(end)) or end[-1] in "}`" or end.endswith("**"):
+        return "markup"
     if _LIST_MARK.search(end):
         return "bare"
-    if _SENTENCE.search(end) or _FIGURE.search(end):
-        return "whole"
+    if _SENTENCE.search(end):
+        return "sentence"
     core = _CLOSERS.sub("", end)
+    if _FIGURE.search(end) or (core != end and _FIGURE.search(core)):
+        return "figure" if _named(core[: len(core) - len(_NUMBER.search(core)[0])]) else "loose_figure"
     if core and core[-1].isascii() and core[-1].isalpha() and (len(core) == 1 or not (core[-2].isalnum() or core[-2] == "_")):
-        before = core[:-1].rstrip(" \t*_(\"'`[{“«")
-        if "A" <= core[-1] <= LAST_LETTER or not before or before[-1] in ":>\n=":
-            return "whole"
-    if core and core != end and (_FIGURE.search(core) or _SENTENCE.search(core)):
-        return "whole"
-    return "bare"
+        before = core[:-1].rstrip(_DRESS)
+        if not before or before[-1] in ":>\n=":
+            return "letter"
+        if core[-1].isupper():
+            return "letter" if _named(before) else "loose_letter"
+    return "sentence" if core and core != end and _SENTENCE.search(core) else "bare"
+
+
+def _named(before: str) -> bool:
+    """Whether what stands before a last letter or figure gives it as the answer: nothing, a cue, or few words that name it."""
+    before = before.rstrip(_DRESS)
+    return not before or before[-1] in ":>\n=" or bool(_NAMING.search(before))
+
 
+def quoted_tail(text: str) -> str | None:
+    """Words of the last line where it may be an option text: all of a one-clause reply, or what a short cue introduces."""
+    line = _LABEL.sub("", text.rstrip().rpartition("\n")[2])
+    cue = _CUE.search(line)
+    tail = line[cue.end() :] if cue else line if "\n" not in text.rstrip() and not _INNER_END.search(line) else None
+    words = None if tail is None else " ".join(_WORD.findall(tail.lower()))
+    return words or None
 
-_ENDING_SCHEMA = "response_id long, provider string, model_name string, question_id string, length long, at_tokens boolean, ending string, bare_text string"
+
+_ENDING_SCHEMA = "response_id long, provider string, model_name string, question_id string, length long, at_tokens boolean, reason string, ending string, bare_text string, tail string"
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    copied = ("response_id", "provider", "model_name", "question_id")
     for batch in batches:
         texts = batch.column("raw_text").to_pylist()
         kinds = [ending(t) for t in texts]
+        open_ends = [k in ("bare", "ellipsis") for k in kinds]
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(n) for n in ("response_id", "provider", "model_name", "question_id")],
+                *[batch.column(n) for n in copied],
                 pa.array([len(t) for t in texts], pa.int64()),
                 batch.column("at_tokens"),
+                batch.column("reason"),
                 pa.array(kinds, pa.string()),
-                pa.array([t if k == "bare" else None for t, k in zip(texts, kinds)], pa.string()),
+                pa.array([t if o else None for t, o in zip(texts, open_ends)], pa.string()),
+                pa.array([quoted_tail(t) if o else None for t, o in zip(texts, open_ends)], pa.string()),
             ],
-            names=["response_id", "provider", "model_name", "question_id", "length", "at_tokens", "ending", "bare_text"],
+            names=[*copied, "length", "at_tokens", "reason", "ending", "bare_text", "tail"],
         )
 
 
@@ -182,76 +220,150 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limits: np.ndarray, ro
     return weight, mean, dev, posterior
 
 
+def fit_evidence(prior: np.ndarray, budget: np.ndarray, endings: np.ndarray, reasons: np.ndarray, counts: np.ndarray, rounds: int = 30) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Rates of cuts away from limits and at used-up budgets, and log likelihood ratios of endings and of reasons, by EM.
+
+    ``prior`` is the censoring posterior of each cell of replies and NaN away from limits; ``budget`` marks cells
+    that used up their tokens; ``endings`` and ``reasons`` number ENDINGS and REASONS. Settled endings keep their
+    side; the shares of the others are what settled replies and limits leave open.
+    """
+    cut, whole = np.isin(endings, [ENDINGS.index(e) for e in CUT]), np.isin(endings, [ENDINGS.index(e) for e in WHOLE])
+    bare, option, quoted, unmatched = (ENDINGS.index(e) for e in ("bare", "option", "quoted", "unmatched"))
+    at_limit, total = ~np.isnan(prior), counts.sum()
+    pooled_ending = np.bincount(endings, counts, len(ENDINGS)) / total
+    pooled_reason = np.bincount(reasons, counts, len(REASONS)) / total
+    rate, spent = RATE_PRIOR[0], BUDGET_PRIOR[0]
+    ending_odds, reason_odds = np.zeros(len(ENDINGS)), np.zeros((2, len(REASONS)))
+    # Only cuts end bare, but for misquoted options: the start that the definition of a whole reply gives.
+    ending_odds[[bare, unmatched]] = 5.0
+
+    def smoothed(values: np.ndarray, weight: np.ndarray, pooled: np.ndarray) -> np.ndarray:
+        return (np.bincount(values, weight, len(pooled)) + SMOOTH * pooled + 1e-9) / (weight.sum() + SMOOTH)
+
+    for _ in range(rounds):
+        p = np.clip(np.where(at_limit, prior, np.where(budget, spent, rate)), 1e-6, 1 - 1e-6)
+        odds = np.log(p / (1 - p)) + ending_odds[endings] + reason_odds[budget.astype(int), reasons]
+        r = np.where(cut, 1.0, np.where(whole, 0.0, 1 / (1 + np.exp(-np.clip(odds, -SETTLED, SETTLED)))))
+        yes, no = counts * r, counts * (1 - r)
+        if (apart := ~at_limit & ~budget).any():
+            rate = (yes[apart].sum() + RATE_PRIOR[0] * RATE_PRIOR[1]) / (counts[apart].sum() + RATE_PRIOR[1])
+        if (used := ~at_limit & budget).any():
+            spent = (yes[used].sum() + BUDGET_PRIOR[0] * BUDGET_PRIOR[1]) / (counts[used].sum() + BUDGET_PRIOR[1])
+        by_cut, by_whole = smoothed(endings, yes, pooled_ending), smoothed(endings, no, pooled_ending)
+        stops = max(by_cut[bare] + by_cut[unmatched], 1e-3)
+        ending_odds = np.log(by_cut / by_whole)
+        ending_odds[bare] = math.log(stops / MISQUOTED)
+        ending_odds[unmatched] = math.log(stops / (MISQUOTED + UNSEEN * by_whole[option]))
+        ending_odds[quoted] = math.log(stops * ACCIDENT / max(by_whole[option], 1e-6))
+        # A used-up budget has its own prior, so reasons are only weighed among replies alike in that.
+        for i, side in enumerate((~budget, budget)):
+            weigh = [smoothed(reasons[side], part[side], pooled_reason) for part in (yes, no)]
+            reason_odds[i] = np.log(weigh[0] / weigh[1])
+    ending_odds[[ENDINGS.index(e) for e in CUT]], ending_odds[[ENDINGS.index(e) for e in WHOLE]] = SETTLED, -SETTLED
+    return rate, spent, ending_odds, reason_odds
+
+
+_FIT_SCHEMA = "provider string, model_name string, typical_length double, rate double, budget_rate double, limits array<struct<length:long,replies:long,unfinished:long,posterior:double>>, ending_odds array<double>, reason_odds array<double>"
+
+
 def _fit_source(part: pd.DataFrame) -> pd.DataFrame:
-    lengths, counts = part["length"].to_numpy(), part["n"].to_numpy().astype(float)
-    limits = candidate_limits(lengths, counts, part["unfinished"].to_numpy())
-    weight, mean, dev, posterior = fit_censored(lengths, counts, limits)
-    rows = [(int(l), float(p)) for l, p in zip(lengths, posterior) if l in set(limits.tolist())] or [(-1, 0.0)]
-    return pd.DataFrame({"provider": part["provider"].iloc[0], "model_name": part["model_name"].iloc[0], "limit_length": [r[0] for r in rows], "limit_posterior": [r[1] for r in rows], "typical_length": float(np.exp((weight * mean).sum()))})
+    part = part.assign(unfinished=np.where(part["ending"].isin(WHOLE), 0, part["n"]))
+    lengths = part.groupby("length", sort=True)[["n", "unfinished"]].sum()
+    at, counts = lengths.index.to_numpy(), lengths["n"].to_numpy().astype(float)
+    limits = candidate_limits(at, counts, lengths["unfinished"].to_numpy())
+    weight, mean, dev, posterior = fit_censored(at, counts, limits)
+    found = {int(l): float(p) for l, p in zip(at, posterior) if l in limits}
+    prior = part["length"].map(found).to_numpy(dtype=float)
+    rate, spent, ending_odds, reason_odds = fit_evidence(
+        prior, part["at_tokens"].to_numpy(dtype=bool), part["ending"].map(ENDINGS.index).to_numpy(), part["reason"].map(REASONS.index).to_numpy(), part["n"].to_numpy().astype(float)
+    )
+    described = [{"length": l, "replies": int(lengths.at[l, "n"]), "unfinished": int(lengths.at[l, "unfinished"]), "posterior": p} for l, p in found.items()]
+    return pd.DataFrame(
+        {"provider": [part["provider"].iloc[0]], "model_name": [part["model_name"].iloc[0]], "typical_length": [float(np.exp((weight * mean).sum()))], "rate": [rate], "budget_rate": [spent], "limits": [described], "ending_odds": [ending_odds], "reason_odds": [reason_odds.ravel()]}
+    )
 
 
-def source_limits(replies: DataFrame) -> DataFrame:
-    """Limits of each source from (provider, model_name, length, ending).
+def source_fits(replies: DataFrame) -> DataFrame:
+    """One row for each source of (provider, model_name, length, at_tokens, reason, ending) replies.
 
-    (provider, model_name, limit_length, limit_posterior, typical_length); -1 where none
-    stands out. Only the length histogram of a source is ever in one task.
+    Its limits with their replies and censoring posteriors, typical length, rates of cuts and log likelihood ratios in
+    the order of ENDINGS and of REASONS (within the token budget, then beyond it). Only a source's histogram is ever in one task.
     """
-    histogram = replies.groupBy("provider", "model_name", "length").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ending") != "whole").alias("unfinished"))
-    return histogram.groupBy("provider", "model_name").applyInPandas(_fit_source, "provider string, model_name string, limit_length long, limit_posterior double, typical_length double")
+    histogram = replies.groupBy("provider", "model_name", "length", "at_tokens", "reason", "ending").agg(F.count(F.lit(1)).alias("n"))
+    return histogram.groupBy("provider", "model_name").applyInPandas(_fit_source, _FIT_SCHEMA)
 
 
 def _plain(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def read_replies(responses: DataFrame) -> DataFrame:
-    """Every reply with its ending, written once: its text goes on only where an option text may still make it whole."""
-    at_tokens = F.coalesce(F.col("usage_info.completion_tokens") >= F.col("max_tokens"), F.lit(False))
+def _words(text: Column) -> Column:
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1), " ")
+
+
+def read_replies(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """(response_id, provider, model_name, length, at_tokens, reason, ending) of every reply, written once.
+
+    Texts go on only where an option text may still make them whole, and questions are reduced to one row each before
+    they meet. An option is quoted where its words end the reply; after dots of omission only where its text does.
+    """
+    scratch = Scratch(responses.sparkSession)
+    said = F.lower("finish_reason")
+    reason = F.when(said.isin("length", "max_tokens", "limit", "incomplete"), "length").when(said.isin("stop", "eos", "end_turn", "completed"), "done").otherwise("other")
     read = responses.where(F.col("raw_text").isNotNull()).select(
         F.col("response_id").cast("long").alias("response_id"),
         F.coalesce("provider", F.lit("")).alias("provider"),
         F.coalesce("model_name", F.lit("")).alias("model_name"),
         F.col("question_id").cast("string").alias("question_id"),
-        at_tokens.alias("at_tokens"),
+        F.coalesce(F.col("usage_info.completion_tokens") >= F.col("max_tokens"), F.lit(False)).alias("at_tokens"),
+        reason.alias("reason"),
         "raw_text",
     )
-    return Scratch(responses.sparkSession).keep(read.mapInArrow(_endings, _ENDING_SCHEMA), "replies")
+    replies = scratch.keep(read.mapInArrow(_endings, _ENDING_SCHEMA), "replies")
+    texts = option_texts(F.col("choices_json"))
+    options = F.transform(texts, lambda o: F.struct(_plain(o).alias("plain"), _words(o).alias("words")))
+    asked = questions.where(F.col("question_id").isNotNull()).select("question_id", options.alias("options"))
+    known = asked.groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_set("options"))).alias("options"))
+
+    unsure = replies.where(F.col("bare_text").isNotNull()).withColumns({"plain": _plain(F.col("bare_text")), "spoken": F.concat(F.lit(" "), _words(F.col("bare_text")))})
+
+    def quotes(o: Column) -> Column:
+        before = F.substr(F.col("plain"), F.length("plain") - F.length(o["plain"]), F.lit(1))
+        written = (F.length(o["plain"]) > 0) & F.col("plain").endswith(o["plain"]) & ((F.length("plain") == F.length(o["plain"])) | ~before.rlike(r"[\p{L}\p{N}]"))
+        return written | ((F.col("ending") == "bare") & (o["words"] != "") & F.col("spoken").endswith(F.concat(F.lit(" "), o["words"])))
+
+    settled = unsure.join(known, "question_id", "left").withColumn("ending", F.when(F.col("options").isNull(), "unmatched").when(F.exists("options", quotes), "option").otherwise("bare"))
+    kept = ["response_id", "provider", "model_name", "length", "at_tokens", "reason", "ending"]
+    # Ends without a known question: is what they quote an option text of any question?
+    loose = settled.where((F.col("ending") == "unmatched") & F.col("tail").isNotNull())
+    tails = loose.select("tail").distinct()
+    anywhere = questions.select(F.explode(F.transform(texts, _words)).alias("tail")).join(tails, "tail", "left_semi").distinct().withColumn("elsewhere", F.lit(True))
+    seen = settled.join(anywhere, "tail", "left").withColumn("ending", F.when((F.col("ending") == "unmatched") & F.col("elsewhere"), "quoted").otherwise(F.col("ending")))
+    return scratch.keep(replies.where(F.col("bare_text").isNull()).select(*kept).unionByName(seen.select(*kept)), "settled")
 
 
 def judged_replies(responses: DataFrame, questions: DataFrame) -> DataFrame:
     """(response_id, provider, model_name, length, ending, limit_posterior, log_odds, truncated) of every stored reply.
 
     Rows without text are no replies and are left out, whatever their status; a reply of white space only is
-    bare. ``truncated`` is log_odds > 0. A null or unknown question has no option texts, so a bare ending stays
-    bare evidence of a cut. Null providers and models form a source of their own; repeated rows are judged each.
+    bare. ``limit_posterior`` is the prior of a cut at the reply's length, ``truncated`` is log_odds > 0. A null or
+    unknown question has no option texts, so its bare endings are weaker evidence. Null providers and models form a
+    source of their own; repeated rows are judged each.
     """
-    replies = read_replies(responses)
-    limits = source_limits(replies).where(F.col("limit_length") >= 0)
-    options = F.array_distinct(F.filter(F.transform(option_texts(F.col("choices_json")), _plain), lambda o: o != ""))
-    known = questions.where(F.col("question_id").isNotNull()).select("question_id", options.alias("options")).groupBy("question_id").agg(F.array_distinct(F.flatten(F.collect_set("options"))).alias("options"))
-    bare = replies.where(F.col("ending") == "bare").withColumn("plain", _plain(F.col("bare_text")))
-
-    def ends_with(text: str, option: Column) -> Column:
-        before = F.substr(F.col(text), F.length(text) - F.length(option), F.lit(1))
-        return F.col(text).endswith(option) & ((F.length(text) == F.length(option)) | ~before.rlike(r"[\p{L}\p{N}]"))
-
-    # The option may stand in closed quotes or brackets: whatever is still open was found before.
-    bare = bare.withColumn("inner", F.regexp_replace("plain", r"[\s\"'”’»)\]*_`]+$", ""))
-    bounded = lambda o: ends_with("plain", o) | ends_with("inner", o)
-    settled = bare.join(known, "question_id", "left").withColumn(
-        "ending", F.when(F.col("options").isNull(), "unknown").when(F.exists("options", bounded), "whole").otherwise("bare")
-    )
-    kept = ["response_id", "provider", "model_name", "length", "at_tokens", "ending"]
-    all_replies = replies.where(F.col("ending") != "bare").select(*kept).unionByName(settled.select(*kept))
+    return judged(read_replies(responses, questions))
+
 
-    joined = all_replies.join(limits.withColumnRenamed("limit_length", "length").select("provider", "model_name", "length", "limit_posterior"), ["provider", "model_name", "length"], "left")
-    cut = F.greatest(F.coalesce("limit_posterior", F.lit(BASE_RATE)), F.when(F.col("at_tokens"), F.lit(0.5)).otherwise(F.lit(BASE_RATE)))
-    odds = F.log(cut / (1 - F.least(cut, F.lit(1 - 1e-9))))
-    length_odds = F.greatest(F.lit(-LENGTH_BOUND), F.least(F.lit(LENGTH_BOUND), odds))
-    evidence = F.lit(0.0)
-    for kind, value in EVIDENCE.items():
-        evidence = F.when(F.col("ending") == kind, F.lit(value)).otherwise(evidence)
-    return joined.select("response_id", "provider", "model_name", "length", "ending", cut.alias("limit_posterior"), (evidence + length_odds).alias("log_odds")).withColumn("truncated", F.col("log_odds") > 0)
+def judged(replies: DataFrame) -> DataFrame:
+    """The same from the rows of :func:`read_replies`."""
+    # One row for each source.
+    joined = replies.join(source_fits(replies), ["provider", "model_name"])
+    censored = F.get(F.filter("limits", lambda x: x["length"] == F.col("length")), F.lit(0))["posterior"]
+    cut = F.coalesce(censored, F.when(F.col("at_tokens"), F.col("budget_rate")).otherwise(F.col("rate")))
+    held = F.least(F.greatest(cut, F.lit(1e-6)), F.lit(1 - 1e-6))
+    place = lambda names, name: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(name)).cast("int") - 1
+    beyond = F.when(F.col("at_tokens"), F.lit(len(REASONS))).otherwise(F.lit(0))
+    odds = F.log(held / (1 - held)) + F.get("ending_odds", place(ENDINGS, "ending")) + F.get("reason_odds", place(REASONS, "reason") + beyond)
+    return joined.select("response_id", "provider", "model_name", "length", "ending", cut.alias("limit_posterior"), odds.alias("log_odds")).withColumn("truncated", F.col("log_odds") > 0)
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,15 +380,26 @@ def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder).groupBy("provider", "model_name").agg(n.alias("replies"), F.count_if("truncated").alias("truncated"), (F.count_if("truncated") / n).alias("truncated_share"))
 
 
+def _fits(spark: SparkSession, folder: str) -> DataFrame:
+    return source_fits(read_replies(table(spark, folder, "model_responses"), table(spark, folder, "toy_normalized")))
+
+
 def p1_limits(spark: SparkSession, folder: str) -> DataFrame:
-    """Length limits found for each source."""
-    return source_limits(read_replies(table(spark, folder, "model_responses"))).where(F.col("limit_length") >= 0)
+    """Length limits found for each source, with the replies of that length and those that don't end whole."""
+    return _fits(spark, folder).select("provider", "model_name", F.explode("limits").alias("l")).select("provider", "model_name", F.col("l.length").alias("limit_length"), F.col("l.replies").alias("n_replies"), F.col("l.unfinished").alias("n_unfinished"))
+
+
+def p1_posteriors(spark: SparkSession, folder: str) -> DataFrame:
+    """What was fitted for each source: censoring posterior of each limit (null without one), rates of cuts, typical length."""
+    each = _fits(spark, folder).select("provider", "model_name", "typical_length", "rate", "budget_rate", F.explode_outer("limits").alias("l"))
+    return each.select("provider", "model_name", "typical_length", "rate", "budget_rate", F.col("l.length").alias("limit_length"), F.col("l.posterior").alias("limit_posterior"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits}
+QUERIES = {"p1_found": p1_found, "p1_rates": p1_rates, "p1_limits": p1_limits, "p1_posteriors": p1_posteriors}
+
 
 def _found_sql() -> str:
-    """The cases of TESTDATA.md by endings alone: what the posterior adds decides no strong ending."""
+    """The cases of TESTDATA.md by endings. On the test tables the posterior agrees: their weak endings are rare or lie where cuts are common."""
     space = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
     closers = r"""["'”’»)\]}*_`\s]*$"""
     count = lambda mark, text="e": f"((length({text}) - length(replace({text}, '{mark}', ''))) // {len(mark)})"
@@ -291,13 +414,21 @@ def _found_sql() -> str:
         [r"regexp_matches(e, '(>|\}|`|\*\*)$')", r"(regexp_matches(e, '[.!?][\"''”’»)\]*_`]*$') AND NOT regexp_matches(e, '\n\d+\.$'))", r"regexp_matches(e, '\d[%°€$]?[\"''”’»)\]}*_`\s]*$')", f"regexp_matches(e, '{letter}')", f"regexp_matches(e, '{cued}')"]
     )
     plain = f"lower(trim(regexp_replace({{0}}, '{space}', ' ', 'g')))"
+    words = "array_to_string(regexp_extract_all(lower({0}), '[\\p{L}\\p{N}]+'), ' ')"
     return f"""
-WITH r AS (SELECT response_id, question_id, raw_text, regexp_replace(raw_text, '[\\s\\x{{a0}}]+$', '') AS e FROM model_responses WHERE raw_text IS NOT NULL),
+WITH r AS (SELECT response_id, question_id, provider, model_name, raw_text, regexp_replace(raw_text, '[\\s\\x{{a0}}]+$', '') AS e FROM model_responses WHERE raw_text IS NOT NULL),
 k AS (SELECT *, ({opened}) AS is_open, regexp_matches(e, '(?i)(\\[(truncated|cut|cut off|\\.\\.\\.|…)\\]|�)$') AS marked, e = '' OR regexp_matches(e, '(…|\\.\\.\\.)$') AS unended, ({whole}) AS ends FROM r),
-o AS (SELECT DISTINCT question_id, {plain.replace("{0}", "x")} AS t FROM (SELECT question_id, unnest(json_extract_string(choices_json, '$[*].text')) AS x FROM toy_normalized WHERE question_id IS NOT NULL) WHERE trim(x) <> ''),
-b AS (SELECT *, {plain.replace("{0}", "raw_text")} AS p FROM k),
-m AS (SELECT DISTINCT b.response_id FROM b JOIN o USING (question_id) WHERE ends_with(p, t) AND (length(p) = length(t) OR NOT regexp_matches(substr(p, length(p) - length(t), 1), '[\\p{{L}}\\p{{N}}]')))
-SELECT response_id FROM b WHERE marked OR is_open OR ((unended OR NOT ends) AND response_id NOT IN (SELECT response_id FROM m))"""
-
-
-ORACLE_SQL = {"p1_found": _found_sql()}
+o AS (SELECT DISTINCT question_id, {plain.replace("{0}", "x")} AS t, {words.replace("{0}", "x")} AS v FROM (SELECT question_id, unnest(json_extract_string(choices_json, '$[*].text')) AS x FROM toy_normalized WHERE question_id IS NOT NULL)),
+b AS (SELECT *, {plain.replace("{0}", "raw_text")} AS p, ' ' || {words.replace("{0}", "raw_text")} AS u FROM k),
+m AS (SELECT DISTINCT b.response_id FROM b JOIN o USING (question_id) WHERE (t <> '' AND ends_with(p, t) AND (length(p) = length(t) OR NOT regexp_matches(substr(p, length(p) - length(t), 1), '[\\p{{L}}\\p{{N}}]'))) OR (NOT unended AND v <> '' AND ends_with(u, ' ' || v)))
+SELECT response_id, provider, model_name, marked OR is_open OR ((unended OR NOT ends) AND response_id NOT IN (SELECT response_id FROM m)) AS cut FROM b"""
+
+
+_CASES = f"WITH c AS ({_found_sql()})"
+ORACLE_SQL = {
+    "p1_found": f"{_CASES} SELECT response_id FROM c WHERE cut",
+    "p1_rates": f"{_CASES} SELECT coalesce(provider, '') AS provider, coalesce(model_name, '') AS model_name, count(*) AS replies, count(*) FILTER (cut) AS truncated, count(*) FILTER (cut) / count(*) AS truncated_share FROM c GROUP BY ALL",
+    "p1_limits": f"""{_CASES}, n AS (SELECT coalesce(c.provider, '') AS provider, coalesce(c.model_name, '') AS model_name, length(raw_text) AS limit_length, count(*) AS n_replies, count(*) FILTER (cut) AS n_unfinished FROM c JOIN model_responses USING (response_id) GROUP BY ALL),
+l AS (SELECT *, (sum(n_replies) OVER (PARTITION BY provider, model_name ORDER BY limit_length RANGE BETWEEN {NEIGHBOURS} PRECEDING AND {NEIGHBOURS} FOLLOWING) - n_replies) / {2 * NEIGHBOURS}.0 AS level FROM n)
+SELECT provider, model_name, limit_length, n_replies, n_unfinished FROM l WHERE n_replies >= {LIMIT_ROWS} AND n_replies >= {LIMIT_RATIO} * greatest(level, 1) AND n_unfinished >= {LIMIT_UNFINISHED} * n_replies""",
+}

@@ -16,9 +16,20 @@ MARKED = ["the oth [truncated]", "compos�"]
 BARE = ["It helps to draw", "That leaves A,", "the trials speak…", "the oth...", "Skipibak w", "speaks o", "\n7.", "Step by step:", "while the stem", "", "so C looks weak"]
 
 
-@pytest.mark.parametrize(("texts", "kind"), [(WHOLE, "whole"), (OPEN, "open"), (MARKED, "marked"), (BARE, "bare")])
-def test_endings(texts, kind):
-    assert {t: tr.ending(t) for t in texts} == dict.fromkeys(texts, kind)
+LOOSE = ["It helps, and so the other clue points to option B", "My second thought was that it has to be A", "I have now counted all of them and found 516"]
+
+
+def test_endings():
+    kinds = {t: tr.ending(t) for t in WHOLE + OPEN + MARKED + BARE + LOOSE}
+    assert all(kinds[t] in tr.WHOLE for t in WHOLE)
+    assert all(kinds[t] == "open" for t in OPEN) and all(kinds[t] == "marked" for t in MARKED)
+    assert {kinds[t] for t in BARE} == {"bare", "ellipsis"} and {kinds[t] for t in LOOSE} == {"loose_letter", "loose_figure"}
+
+
+def test_quoted_tail():
+    assert tr.quoted_tail("The  Red fox") == "the red fox" and tr.quoted_tail("B) red, fox") == "red fox"
+    assert tr.quoted_tail("It is so. Final answer: Red Fox") == "red fox"
+    assert tr.quoted_tail("It is so. Step by step: the red fox") is None and tr.quoted_tail("One is out.\n2. Two") is None and tr.quoted_tail("  ") is None
 
 
 def test_censored_fit_recovers_the_distribution():
@@ -36,9 +47,9 @@ def test_censored_fit_recovers_the_distribution():
 
 
 def test_judged_replies(spark):
-    ddl = "response_id long, provider string, model_name string, question_id string, max_tokens int, usage_info struct<completion_tokens:int>, raw_text string, ending string"
+    ddl = "response_id long, provider string, model_name string, question_id string, max_tokens int, usage_info struct<completion_tokens:int>, raw_text string, ending string, finish_reason string"
     texts = ["the red  Fox", "a red fox runs", "the RED fox", None, "   ", "Answer: A", "scans...", "the red fo", "x" * 200_000]
-    rows = [(i, "p", None, "q" if i != 2 else None, 10, (10,), t, "clash") for i, t in enumerate(texts)] + [(5, "p", None, "q", 10, None, "Answer: A", "clash")]
+    rows = [(i, "p", None, "q" if i != 2 else None, 10, (10,), t, "clash", None) for i, t in enumerate(texts)] + [(5, "p", None, "q", 10, None, "Answer: A", "clash", "length")]
     options = json.dumps([{"text": "red fox"}, {"text": "Scans..."}, {"text": None}])
     questions = spark.createDataFrame([("q", options), ("q", options), ("q", None), (None, options)], "question_id string, choices_json string")
     got = tr.judged_replies(spark.createDataFrame(rows, ddl), questions).collect()
@@ -50,9 +61,9 @@ def test_judged_replies(spark):
 
 
 def test_option_needs_a_word_boundary(spark):
-    ddl = "response_id long, provider string, model_name string, question_id string, max_tokens int, usage_info struct<completion_tokens:int>, raw_text string"
+    ddl = "response_id long, provider string, model_name string, question_id string, max_tokens int, usage_info struct<completion_tokens:int>, raw_text string, finish_reason string"
     questions = spark.createDataFrame([("q", '[{"text": "ports"}]')], "question_id string, choices_json string")
-    rows = [(1, "p", "m", "q", 1, None, "the airports"), (2, "p", "m", "q", 1, None, "the ports"), (3, "p", "m", "q", 1, None, 'I say "Ports"')]
+    rows = [(1, "p", "m", "q", 1, None, "the airports", "stop"), (2, "p", "m", "q", 1, None, "the ports", ""), (3, "p", "m", "q", 1, None, 'I say "Ports"', None)]
     got = {r.response_id: r.truncated for r in tr.judged_replies(spark.createDataFrame(rows, ddl), questions).collect()}
     assert got == {1: True, 2: False, 3: False}
 
@@ -62,7 +73,47 @@ def test_rates_and_limits_on_the_tables(spark):
     rates = tr.p1_rates(spark, SF).collect()
     assert sum(r.replies for r in rates) == n and 0 < sum(r.truncated for r in rates) < n / 2
     assert tr.p1_found(spark, SF).count() == sum(r.truncated for r in rates)
-    assert set(tr.p1_limits(spark, SF).columns) == {"provider", "model_name", "limit_length", "limit_posterior", "typical_length"}
+    assert set(tr.p1_limits(spark, SF).columns) == {"provider", "model_name", "limit_length", "n_replies", "n_unfinished"}
+    fits = tr.p1_posteriors(spark, SF).collect()
+    assert len({(r.provider, r.model_name) for r in fits}) == len(rates) and all(0 < r.rate < 0.5 for r in fits)
+
+
+def replies_of_source(spark, limit: int, clean: int = 4000):
+    """A source whose replies above ``limit`` are cut; one with the same weak ending at 300 and one at 200 letters."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, n in enumerate(np.exp(rng.normal(5.0, 0.7, clean)).astype(int) + 20):
+        text = ("It is so. " * (n // 10 + 1))[:n]
+        rows.append((i, text[: n - 1].rstrip() + "." if n < limit else "It is" + " ab" * limit, None))
+    weak = " It helps, and so the other clue points to option B"
+    rows = [(i, t[:limit] if len(t) > limit else t, q) for i, t, q in rows]
+    for at in (200, 300):
+        rows.append((10_000 + at, ("It is so. " * 60)[: at - len(weak)] + weak, None))
+        rows.append((20_000 + at, ("It is so. " * 60)[: at - 3] + " ab", "unknown"))
+    ddl = "response_id long, raw_text string, question_id string, provider string, model_name string, max_tokens int, usage_info struct<completion_tokens:int>, finish_reason string"
+    return spark.createDataFrame([(i, t, q, "p", "m", None, None, None) for i, t, q in rows], ddl)
+
+
+def test_moving_the_limit_flips_replies_with_weak_endings(spark):
+    questions = spark.createDataFrame([("q", '[{"text": "ports"}]')], "question_id string, choices_json string")
+    for limit in (200, 300):
+        replies = replies_of_source(spark, limit)
+        got = {r.response_id: r for r in tr.judged_replies(replies, questions).where("response_id >= 10000").collect()}
+        other = 500 - limit
+        assert got[10_000 + limit].truncated and got[20_000 + limit].truncated
+        assert not got[10_000 + other].truncated
+        assert got[20_000 + limit].log_odds > got[20_000 + other].log_odds + 5
+        assert got[10_000 + limit].limit_posterior > 0.9
+
+
+def test_evidence_fit_learns_rates_and_ratios():
+    """2 % cuts away from limits, all of them bare, and one limit at which nearly all are cut."""
+    e = tr.ENDINGS.index
+    cells = [(np.nan, e("sentence"), 970), (np.nan, e("bare"), 20), (np.nan, e("option"), 10), (0.99, e("bare"), 95), (0.99, e("sentence"), 5)]
+    prior, endings, counts = (np.array(x) for x in zip(*cells))
+    rate, spent, odds, _ = tr.fit_evidence(prior, np.zeros(5, dtype=bool), endings, np.zeros(5, dtype=int), counts.astype(float))
+    assert abs(rate - 0.02) < 0.002 and spent == tr.BUDGET_PRIOR[0]
+    assert odds[e("bare")] > odds[e("unmatched")] > odds[e("quoted")] and odds[e("open")] == tr.SETTLED == -odds[e("sentence")]
 
 
 def area_texts(n=60, seed=1):
