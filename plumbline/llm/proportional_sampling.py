@@ -2,8 +2,8 @@
 
 Weights are raked by iterative proportional fitting over two margins (category and a second attribute
 whose population shares are kept). Identifiers get weighted exponential keys, -ln(u) / weight; each
-category takes its smallest keys up to its quota, quotas are repaired to the minimums, and what stays
-out of reach is reported. Cells and key histograms are small tables; identifiers never leave executors.
+category takes its smallest keys up to its quota, quotas are repaired to the minimums, and what the sample
+lacks of either margin is reported. Cells and key histograms are small tables; identifiers never leave executors.
 """
 
 from __future__ import annotations
@@ -27,21 +27,25 @@ def category_key(category: Column) -> Column:
     return F.lower(F.regexp_replace(category, r"[ \t\-_]", ""))
 
 
-def rake(counts: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int = 200, close: float = 1e-9) -> tuple[np.ndarray, float]:
-    """Fit ``counts`` to both margins; returns the fitted table and the largest relative margin error left.
+def rake(counts: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int = 1000, close: float = 1e-9) -> tuple[np.ndarray, float]:
+    """Fit ``counts`` to both margins; returns the fitted table, whose cells add up to 1, and the largest margin error left.
 
-    Rows or columns without any count cannot be fitted and stay empty.
+    Rows and columns without any count or goal cannot be fitted: they stay empty, and the goals of the others are
+    scaled to add up to 1, so both margins ask for the same total. An error is left only where empty cells make the
+    two margins contradict each other.
     """
-    fitted = counts.astype(float).copy()
-    worst = 0.0
+    fitted = np.where((rows > 0)[:, None] & (columns > 0)[None, :], counts, 0.0).astype(float)
+    rows = np.where(fitted.sum(axis=1) > 0, rows, 0.0)
+    columns = np.where(fitted.sum(axis=0) > 0, columns, 0.0)
+    if not fitted.sum():
+        return fitted, 0.0
+    rows, columns = rows / rows.sum(), columns / columns.sum()
+    worst = math.inf
     for _ in range(rounds):
-        for axis, goal in ((1, rows), (0, columns)):
-            sums = fitted.sum(axis=axis)
-            factor = np.divide(goal, sums, out=np.zeros_like(sums), where=sums > 0)
-            fitted *= factor[:, None] if axis == 1 else factor[None, :]
-        sums = fitted.sum(axis=1)
-        reachable = counts.sum(axis=1) > 0
-        worst = float(np.max(np.abs(sums - rows)[reachable] / np.maximum(rows[reachable], 1e-300), initial=0.0))
+        for axis, goal in ((0, columns), (1, rows)):
+            sums = fitted.sum(axis=axis, keepdims=True)
+            fitted = fitted * np.divide(np.expand_dims(goal, axis), sums, out=np.zeros_like(sums), where=sums > 0)
+        worst = float(max(np.abs(fitted.sum(axis=0) - columns).max(), np.abs(fitted.sum(axis=1) - rows).max()))
         if worst < close:
             break
     return fitted, worst
@@ -80,22 +84,26 @@ class ProportionalSample:
     """
 
     def __init__(self, rows: DataFrame, targets: DataFrame, seed: int = SEED):
-        self.spark, self.seed = rows.sparkSession, seed
+        self.spark, self.seed, self.scratch = rows.sparkSession, seed, Scratch(rows.sparkSession)
+        self._keys: DataFrame | None = None
+        self._drawn_cells: dict[tuple, int] | None = None
         read = rows.where(F.col("id").isNotNull()).select(F.col("id"), category_key(F.col("category")).alias("ckey"), F.coalesce(F.col("attribute").cast("string"), F.lit("")).alias("attribute"))
         # One row per (id, category); ids are spread evenly whatever the category's share.
         pairs = read.where(F.col("ckey").isNotNull()).groupBy("id", "ckey").agg(F.min("attribute").alias("attribute"))
-        self.ids = Scratch(self.spark).keep(pairs.withColumn("home", F.row_number().over(Window.partitionBy("id").orderBy("ckey")) == 1), "ids")
-        cells = self.ids.groupBy("ckey", "attribute").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).collect()
-        self.attributes = sorted({c["attribute"] for c in cells})
+        self.ids = self.scratch.keep(pairs.withColumn("home", F.row_number().over(Window.partitionBy("id").orderBy("ckey")) == 1), "ids")
+        wanted = targets.where(F.col("category").isNotNull()).select("plan_id", "category", category_key(F.col("category")).alias("ckey"), "target_share", "min_rows", "plan_rows")
         self.plans: dict[int, dict] = {}
-        available = {}
+        for t in wanted.orderBy("plan_id", "category").collect():
+            self.plans.setdefault(t["plan_id"], {"targets": []})["targets"].append(t)
+        # Only categories that a plan names are counted here: as many cells as those have attribute values.
+        named = self.spark.createDataFrame([(k,) for k in sorted({t["ckey"] for p in self.plans.values() for t in p["targets"]})], "ckey string")
+        cells = self.ids.join(named, "ckey", "left_semi").groupBy("ckey", "attribute").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).collect()
+        self.attributes = sorted({c["attribute"] for c in cells})
+        available: dict[str, int] = {}
         homes: dict[str, dict[str, int]] = {}
         for c in cells:
             available[c["ckey"]] = available.get(c["ckey"], 0) + c["n"]
             homes.setdefault(c["ckey"], {})[c["attribute"]] = c["homes"]
-        wanted = targets.where(F.col("category").isNotNull()).select("plan_id", "category", category_key(F.col("category")).alias("ckey"), "target_share", "min_rows", "plan_rows")
-        for t in wanted.orderBy("plan_id", "category").collect():
-            self.plans.setdefault(t["plan_id"], {"targets": []})["targets"].append(t)
         for plan in self.plans.values():
             self._fit(plan, available, homes)
 
@@ -106,39 +114,44 @@ class ProportionalSample:
         size = max([int(t["plan_rows"] or 0) for t in goals], default=0)
         shares = [float(t["target_share"] or 0) for t in goals]
         counts = np.array([[homes.get(t["ckey"], {}).get(a, 0) for a in self.attributes] for t in goals], dtype=float).reshape(len(goals), len(self.attributes))
-        everything = counts.sum()
-        column_goal = counts.sum(axis=0) / everything if everything else counts.sum(axis=0)
-        fitted, plan["margin_error"] = rake(counts, np.array(shares), column_goal)
-        plan["weights"] = np.divide(fitted, counts, out=np.zeros_like(fitted), where=counts > 0)
+        reachable = counts[np.array(shares) > 0].sum(axis=0) if goals else counts.sum(axis=0)
+        plan["column_goal"] = reachable / reachable.sum() if reachable.sum() else reachable
+        plan["fitted"], plan["margin_error"] = rake(counts, np.array(shares), plan["column_goal"])
+        weights = np.divide(plan["fitted"], counts, out=np.zeros_like(counts), where=counts > 0)
+        # A category of no share is drawn from only for its minimum: there all weigh alike.
+        plan["weights"] = np.where(weights.sum(axis=1, keepdims=True) > 0, weights, 1.0) if goals else weights
         plan["quotas"] = quotas(shares, [int(t["min_rows"] or 0) for t in goals], supply, size)
 
     def _keyed(self) -> DataFrame:
-        """(plan_id, category, id, key, bucket) of every identifier in reach of a plan."""
-        rows = [
-            (plan_id, t["category"], t["ckey"], a, float(w), float(np.mean(plan["weights"][i][plan["weights"][i] > 0])))
-            for plan_id, plan in self.plans.items()
-            for i, t in enumerate(plan["targets"])
-            for a, w in zip(self.attributes, plan["weights"][i])
-            if w > 0
-        ]
-        # As many rows as the plans have categories times attribute values.
-        weights = self.spark.createDataFrame(rows, "plan_id int, category string, ckey string, attribute string, weight double, scale double")
-        u = F.greatest(seeded_uniform("plan_id", "id", seed=self.seed), F.lit(2.0**-53))
-        joined = self.ids.where("home").join(weights, ["ckey", "attribute"]).withColumn("key", -F.log(u) / F.col("weight"))
-        bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.col("scale"))) * BUCKETS).cast("int"))
-        return joined.select("plan_id", "category", "id", "key", bucket.alias("bucket"))
-
-    def sample(self) -> DataFrame:
-        """(plan_id, subject, id): each plan's drawn identifiers."""
-        keyed = Scratch(self.spark).keep(self._keyed(), "keyed")
-        histogram: dict[tuple, list[tuple[int, int]]] = {}
-        for r in keyed.groupBy("plan_id", "category", "bucket").count().collect():
-            histogram.setdefault((r["plan_id"], r["category"]), []).append((r["bucket"], r["count"]))
+        """(plan_id, category, id, home, key, bucket) of every identifier in reach of a plan, written once.
+
+        Identifiers seen in several categories have a key in each; only that of their home can be drawn.
+        """
+        if self._keys is None:
+            rows = [
+                (plan_id, t["category"], t["ckey"], a, float(w) or 1.0, float(np.mean(plan["weights"][i][plan["weights"][i] > 0])))
+                for plan_id, plan in self.plans.items()
+                for i, t in enumerate(plan["targets"])
+                for a, w in zip(self.attributes, plan["weights"][i])
+            ]
+            # As many rows as the plans have categories times attribute values.
+            weights = self.spark.createDataFrame(rows, "plan_id int, category string, ckey string, attribute string, weight double, scale double")
+            u = F.greatest(seeded_uniform("plan_id", "id", seed=self.seed), F.lit(2.0**-53))
+            joined = self.ids.join(weights, ["ckey", "attribute"]).withColumn("key", -F.log(u) / F.col("weight"))
+            bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.col("scale"))) * BUCKETS).cast("int"))
+            self._keys = self.scratch.keep(joined.select("plan_id", "category", "attribute", "id", "home", "key", bucket.alias("bucket")), "keyed")
+            self.histogram: dict[tuple, list[tuple[int, int, int]]] = {}
+            for r in self._keys.groupBy("plan_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).collect():
+                self.histogram.setdefault((r["plan_id"], r["category"]), []).append((r["bucket"], r["homes"], r["n"]))
+        return self._keys
+
+    def _drawn(self) -> DataFrame:
+        keyed = self._keyed().where("home")
         cuts = []
         for plan_id, plan in self.plans.items():
             for t, quota in zip(plan["targets"], plan["quotas"]):
                 left, cut = quota, -1
-                for bucket, n in sorted(histogram.get((plan_id, t["category"]), [])):
+                for bucket, n, _ in sorted(self.histogram.get((plan_id, t["category"]), [])):
                     cut = bucket
                     if n >= left:
                         break
@@ -148,17 +161,57 @@ class ProportionalSample:
         near = keyed.join(limits, ["plan_id", "category"]).where(F.col("bucket") <= F.col("cut"))
         whole = near.where(F.col("bucket") < F.col("cut"))
         edge = near.where(F.col("bucket") == F.col("cut")).withColumn("rank", F.row_number().over(Window.partitionBy("plan_id", "category").orderBy("key", "id"))).where(F.col("rank") <= F.col("left"))
-        return whole.select("plan_id", F.col("category").alias("subject"), "id").unionByName(edge.select("plan_id", F.col("category").alias("subject"), "id"))
+        columns = ["plan_id", F.col("category").alias("subject"), "attribute", "id"]
+        return whole.select(*columns).unionByName(edge.select(*columns))
+
+    def sample(self) -> DataFrame:
+        """(plan_id, subject, id): each plan's drawn identifiers."""
+        return self._drawn().select("plan_id", "subject", "id")
+
+    def _counts(self) -> dict[tuple, int]:
+        """Drawn identifiers by (plan_id, subject, attribute): one row for each cell of the plans."""
+        if self._drawn_cells is None:
+            self._drawn_cells = {(r["plan_id"], r["subject"], r["attribute"]): r["count"] for r in self._drawn().groupBy("plan_id", "subject", "attribute").count().collect()}
+        return self._drawn_cells
 
     def report(self) -> DataFrame:
-        """(plan_id, subject, target_share, min_rows, plan_rows, available, quota, quota_share, gap_rows, short) of every target."""
+        """(plan_id, subject, target_share, min_rows, plan_rows, available, quota, drawn, drawn_share, gap_rows, short) of every target.
+
+        ``available`` counts the keys of the category, ``drawn`` the identifiers in the sample and ``drawn_share`` their
+        share of it. ``gap_rows`` is what the sample lacks of its share or minimum, ``short`` whether the keys ran
+        out before they were met.
+        """
+        counts = self._counts()
         rows = []
         for plan_id, plan in self.plans.items():
-            for t, n, q in zip(plan["targets"], plan["available"], plan["quotas"]):
+            drawn = [sum(counts.get((plan_id, t["category"], a), 0) for a in self.attributes) for t in plan["targets"]]
+            whole = max(1, sum(drawn))
+            for t, q, got in zip(plan["targets"], plan["quotas"], drawn):
+                n = sum(keys for _, _, keys in self.histogram.get((plan_id, t["category"]), []))
                 share, least, size = float(t["target_share"] or 0), int(t["min_rows"] or 0), int(t["plan_rows"] or 0)
                 goal = share * size
-                rows.append((plan_id, t["category"], share, least, size, n, q, q / size if size else 0.0, float(max(0.0, max(goal, least) - q)), n < least or n < goal))
-        return self.spark.createDataFrame(rows, "plan_id int, subject string, target_share double, min_rows int, plan_rows long, available long, quota long, quota_share double, gap_rows double, short boolean")
+                rows.append((plan_id, t["category"], share, least, size, n, q, got, got / whole, float(max(0.0, max(goal, least) - got)), n < least or n < goal))
+        return self.spark.createDataFrame(rows, "plan_id int, subject string, target_share double, min_rows int, plan_rows long, available long, quota long, drawn long, drawn_share double, gap_rows double, short boolean")
+
+    def margins(self) -> DataFrame:
+        """(plan_id, margin, value, target_share, fitted_share, sample_share, gap, margin_error) of both margins of each plan.
+
+        Targets are those of the reachable categories and of the attribute's shares among them; ``gap`` is what the
+        sample's share is above its target, ``margin_error`` what raking left of the plan's largest difference.
+        """
+        counts = self._counts()
+        rows = []
+        for plan_id, plan in self.plans.items():
+            names = [t["category"] for t in plan["targets"]]
+            cells = np.array([[counts.get((plan_id, c, a), 0) for a in self.attributes] for c in names], dtype=float).reshape(len(names), len(self.attributes))
+            got = cells / max(1.0, cells.sum())
+            shares = np.array([max(0.0, float(t["target_share"] or 0)) for t in plan["targets"]])
+            shares = np.where(plan["fitted"].sum(axis=1) > 0, shares, 0.0)
+            shares = shares / shares.sum() if shares.sum() else shares
+            for margin, values, axis, goal in (("category", names, 1, shares), ("attribute", self.attributes, 0, plan["column_goal"])):
+                for value, g, f, s in zip(values, goal, plan["fitted"].sum(axis=axis), got.sum(axis=axis)):
+                    rows.append((plan_id, margin, value, float(g), float(f), float(s), float(s - g), plan["margin_error"]))
+        return self.spark.createDataFrame(rows, "plan_id int, margin string, value string, target_share double, fitted_share double, sample_share double, gap double, margin_error double")
 
 
 def test_sample(spark: SparkSession, folder: str) -> ProportionalSample:
@@ -172,17 +225,36 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Share, quota and drawn identifiers of every target, and what each lacks."""
     return test_sample(spark, folder).report()
 
 
+def p5_margins(spark: SparkSession, folder: str) -> DataFrame:
+    """Residual gaps of both margins."""
+    return test_sample(spark, folder).margins()
+
+
 def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return test_sample(spark, folder).sample().withColumnRenamed("id", "question_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_sample": p5_sample}
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_margins": p5_margins, "p5_sample": p5_sample}
+_KEY = r"lower(regexp_replace({0}, '[ \t\-_]', '', 'g'))"
+_AVAILABLE = f"""
+WITH pairs AS (SELECT question_id AS id, {_KEY.format("subject")} AS k, row_number() OVER (PARTITION BY question_id ORDER BY {_KEY.format("subject")}) = 1 AS home
+  FROM (SELECT DISTINCT question_id, {_KEY.format("subject")} AS subject FROM toy_normalized WHERE question_id IS NOT NULL AND subject IS NOT NULL)),
+counts AS (SELECT k, count(*) AS n, count(*) FILTER (home) AS homes FROM pairs GROUP BY k),
+goals AS (SELECT plan_id, subject, target_share, min_rows, plan_rows, coalesce(n, 0) AS n, coalesce(homes, 0) AS homes, row_number() OVER (PARTITION BY plan_id ORDER BY subject) AS i FROM subject_targets t LEFT JOIN counts c ON c.k = {_KEY.format("t.subject")})"""
 ORACLE_SQL = {
-    "p5_found": r"""
-WITH counts AS (SELECT lower(regexp_replace(subject, '[ \t\-_]', '', 'g')) AS k, count(DISTINCT question_id) AS n FROM toy_normalized GROUP BY ALL)
-SELECT plan_id, subject FROM subject_targets t LEFT JOIN counts c ON c.k = lower(regexp_replace(t.subject, '[ \t\-_]', '', 'g'))
-WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) < target_share * plan_rows"""
+    "p5_found": f"{_AVAILABLE} SELECT plan_id, subject FROM goals WHERE n < min_rows OR n < target_share * plan_rows",
+    # Quotas: largest remainders, raised to the minimums within supply; what is too much leaves unit by unit, furthest above its share first.
+    "p5_report": f"""{_AVAILABLE},
+parts AS (SELECT *, target_share * plan_rows AS raw, floor(target_share * plan_rows + 1e-9) AS whole, least(min_rows, homes) AS lowest FROM goals),
+rounded AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY plan_id ORDER BY whole - raw, i) <= plan_rows - sum(whole) OVER (PARTITION BY plan_id) THEN 1 ELSE 0 END AS want FROM parts),
+held AS (SELECT *, CAST(greatest(lowest, least(want, homes)) AS BIGINT) AS got FROM rounded),
+units AS (SELECT plan_id, i, row_number() OVER (PARTITION BY plan_id ORDER BY got - u - raw DESC, got - u DESC, i) AS turn FROM held, unnest(range(0, greatest(0, got - CAST(lowest AS BIGINT)))) AS x(u)),
+surplus AS (SELECT plan_id, sum(got) - max(plan_rows) AS over FROM held GROUP BY plan_id),
+taken AS (SELECT plan_id, i, count(*) AS less FROM units JOIN surplus USING (plan_id) WHERE turn <= over GROUP BY ALL),
+q AS (SELECT h.*, CAST(got - coalesce(less, 0) AS BIGINT) AS quota FROM held h LEFT JOIN taken USING (plan_id, i))
+SELECT plan_id, subject, target_share, min_rows, plan_rows, n AS available, quota, quota AS drawn, quota / sum(quota) OVER (PARTITION BY plan_id) AS drawn_share, CAST(greatest(0, greatest(raw, min_rows) - quota) AS DOUBLE) AS gap_rows, n < min_rows OR n < raw AS short FROM q""",
 }

@@ -34,6 +34,32 @@ def test_sample_only_gains_members(spark):
     assert ids(kept) == after and kept.count() > len(after)
 
 
+def test_stored_ledger_keeps_what_was_frozen(spark, tmp_path):
+    epoch = es.month_epoch(F.col("ingested_at"))
+    first, second = rows(spark, 1000).select("question_id", "ingested_at"), rows(spark, 1500, first=500, month=2).select("question_id", "ingested_at")
+    ledger = es.StoredLedger(spark, str(tmp_path / "ledger"), "question_id")
+    assert ledger.read().count() == 0
+    before = ids(es.selected(ledger.enter("a", first, epoch, rate=0.3), "question_id"))
+    # A changed rate, a repeated delivery and a late row without a time touch nothing that is stored.
+    again = ids(es.selected(ledger.enter("a", first, epoch, rate=0.9), "question_id"))
+    late = spark.createDataFrame([("q7", None), ("new", None)], "question_id string, ingested_at timestamp")
+    grown = es.StoredLedger(spark, str(tmp_path / "ledger"), "question_id").enter("b", second.unionByName(late), epoch, {"2026-02": 0.05}, 0.0)
+    entry = {r.question_id: (r.epoch, r.rate) for r in grown.collect()}
+    assert len(entry) == 2001 and entry["q7"] == ("2026-01", 0.3) and entry["q1700"] == ("2026-02", 0.05) and entry["new"] == ("", 0.0)
+    after = ids(es.selected(grown, "question_id"))
+    assert before == again and before < after
+
+
+def test_an_unfinished_delivery_is_entered_anew(spark, tmp_path):
+    epoch = es.month_epoch(F.col("ingested_at"))
+    data = rows(spark, 50).select("question_id", "ingested_at")
+    ledger = es.StoredLedger(spark, str(tmp_path / "ledger"), "question_id")
+    ledger.enter("a", data, epoch, rate=0.9)
+    (tmp_path / "ledger" / "a" / "_SUCCESS").unlink()
+    assert ledger.read().count() == 0
+    assert {r.rate for r in ledger.enter("a", data, epoch, rate=0.2).collect()} == {0.2}
+
+
 def test_epoch_edges(spark):
     df = spark.createDataFrame([("a", None), (None, None), ("a", None), ("", None)], "question_id string, ingested_at timestamp")
     got = es.extend_ledger(df, "question_id", es.month_epoch(F.col("ingested_at")))
@@ -55,10 +81,18 @@ def test_sql(spark, module):
 
 
 def test_rake():
-    counts = np.array([[10.0, 5.0], [0.0, 8.0], [0.0, 0.0]])
-    fitted, error = ps.rake(counts, np.array([0.5, 0.3, 0.2]), np.array([0.4, 0.4]))
-    assert error < 1e-6 or fitted[2].sum() == 0
-    assert fitted[1, 0] == 0 and np.allclose(fitted.sum(axis=0), [0.4, 0.4])
+    # The third row is out of reach: the other goals are scaled up and both margins are met.
+    counts = np.array([[10.0, 5.0], [2.0, 8.0], [0.0, 0.0]])
+    fitted, error = ps.rake(counts, np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4]))
+    assert error < 1e-8 and np.allclose(fitted.sum(axis=1), [0.625, 0.375, 0]) and np.allclose(fitted.sum(axis=0), [0.6, 0.4])
+    odds = lambda m: m[0, 0] * m[1, 1] / (m[0, 1] * m[1, 0])
+    assert np.isclose(odds(fitted), odds(counts))
+
+
+def test_rake_says_where_margins_contradict():
+    fitted, error = ps.rake(np.array([[10.0, 0.0], [0.0, 8.0]]), np.array([0.5, 0.5]), np.array([0.9, 0.1]))
+    assert error > 0.1 and np.allclose(fitted.sum(axis=1), [0.5, 0.5])
+    assert ps.rake(np.zeros((2, 2)), np.array([0.5, 0.5]), np.zeros(2))[1] == 0.0
 
 
 def test_quotas():
@@ -83,6 +117,11 @@ def test_sample_meets_targets(spark):
     report = {(r.plan_id, r.subject): r for r in s.report().collect()}
     assert report[1, "rare"].short and report[1, "rare"].gap_rows == 9.0 and report[2, "gone"].short and not report[1, "small"].short
     assert sorted(got) == sorted(s.sample().collect())
+    assert all(r.drawn == r.quota == sizes.get((r.plan_id, r.subject), 0) for r in report.values())
+    margins = s.margins().where("plan_id = 1").collect()
+    assert {m: round(sum(r.target_share for r in margins if r.margin == m), 9) for m in ("category", "attribute")} == {"category": 1.0, "attribute": 1.0}
+    assert all(abs(r.fitted_share - r.target_share) <= r.margin_error + 1e-12 for r in margins)
+    assert max(abs(r.gap) for r in margins if r.margin == "category") < 0.12
     # The second margin keeps the population's shares.
     attribute = {d[0]: d[2] for d in data}
     small = [attribute[r.id] for r in got if r.subject == "small"]
