@@ -140,24 +140,17 @@ class ProportionalSample:
             joined = self.ids.join(weights, ["ckey", "attribute"]).withColumn("key", -F.log(u) / F.col("weight"))
             bucket = F.least(F.lit(BUCKETS - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.col("scale"))) * BUCKETS).cast("int"))
             self._keys = self.scratch.keep(joined.select("plan_id", "category", "attribute", "id", "home", "key", bucket.alias("bucket")), "keyed")
-            self.histogram: dict[tuple, list[tuple[int, int, int]]] = {}
-            for r in self._keys.groupBy("plan_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).collect():
-                self.histogram.setdefault((r["plan_id"], r["category"]), []).append((r["bucket"], r["homes"], r["n"]))
+            counted = self._keys.groupBy("plan_id", "category", "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+            self.histogram = self.scratch.keep(counted, "histogram")
         return self._keys
 
     def _drawn(self) -> DataFrame:
         keyed = self._keyed().where("home")
-        cuts = []
-        for plan_id, plan in self.plans.items():
-            for t, quota in zip(plan["targets"], plan["quotas"]):
-                left, cut = quota, -1
-                for bucket, n, _ in sorted(self.histogram.get((plan_id, t["category"]), [])):
-                    cut = bucket
-                    if n >= left:
-                        break
-                    left -= n
-                cuts.append((plan_id, t["category"], cut, left))
-        limits = self.spark.createDataFrame(cuts, "plan_id int, category string, cut int, left long")
+        quotas = [(plan_id, t["category"], quota) for plan_id, plan in self.plans.items() for t, quota in zip(plan["targets"], plan["quotas"])]
+        upto = F.sum("homes").over(Window.partitionBy("plan_id", "category").orderBy("bucket"))
+        reached = self.histogram.withColumn("upto", upto).join(self.spark.createDataFrame(quotas, "plan_id int, category string, quota long"), ["plan_id", "category"])
+        before = F.col("upto") - F.col("homes")
+        limits = reached.where((before < F.col("quota")) & (F.col("upto") >= F.col("quota"))).select("plan_id", "category", F.col("bucket").alias("cut"), (F.col("quota") - before).alias("left"))
         near = keyed.join(limits, ["plan_id", "category"]).where(F.col("bucket") <= F.col("cut"))
         whole = near.where(F.col("bucket") < F.col("cut"))
         edge = near.where(F.col("bucket") == F.col("cut")).withColumn("rank", F.row_number().over(Window.partitionBy("plan_id", "category").orderBy("key", "id"))).where(F.col("rank") <= F.col("left"))
@@ -182,12 +175,13 @@ class ProportionalSample:
         out before they were met.
         """
         counts = self._counts()
+        keys = {(r["plan_id"], r["category"]): r["n"] for r in self.histogram.groupBy("plan_id", "category").agg(F.sum("n").alias("n")).collect()}
         rows = []
         for plan_id, plan in self.plans.items():
             drawn = [sum(counts.get((plan_id, t["category"], a), 0) for a in self.attributes) for t in plan["targets"]]
             whole = max(1, sum(drawn))
             for t, q, got in zip(plan["targets"], plan["quotas"], drawn):
-                n = sum(keys for _, _, keys in self.histogram.get((plan_id, t["category"]), []))
+                n = keys.get((plan_id, t["category"]), 0)
                 share, least, size = float(t["target_share"] or 0), int(t["min_rows"] or 0), int(t["plan_rows"] or 0)
                 goal = share * size
                 rows.append((plan_id, t["category"], share, least, size, n, q, got, got / whole, float(max(0.0, max(goal, least) - got)), n < least or n < goal))
