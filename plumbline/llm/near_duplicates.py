@@ -130,7 +130,8 @@ def _near(threshold: float) -> Column:
 def _direct(rows: DataFrame, key: str, threshold: float, extra: Column | None = None) -> DataFrame:
     """Candidate pairs (a, b), a < b, of the rows of one region."""
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & _met(threshold)
-    # One exchange serves both sides: the index filter stays above it as it is not deterministic to the optimiser.
+    # A region here is bounded by the comparisons that _comparisons allows it, so its exchange needs no skew splitting and
+    # one serves both sides: the index filter stays above it as it is not deterministic to the optimiser.
     spread = rows.repartition(key)
     index = _index_role(spread.withColumn("pos", F.col("pos") + F.spark_partition_id() * 0), threshold)
     return index.alias("a").join(spread.alias("b"), on if extra is None else on & extra).select(*_pair())
@@ -255,55 +256,141 @@ def question_words(questions: DataFrame) -> DataFrame:
     return keyed.withColumn("cls", F.xxhash64(F.array_sort("words")))
 
 
+def _units(docs: DataFrame) -> DataFrame:
+    """(cls, copy_key, first, n) of every set of copies with equal words; ``first`` is its smallest ordinal."""
+    return docs.where(F.size("words") > 0).groupBy("cls", "copy_key").agg(F.min("ordinal").alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def _side(df: DataFrame, mark: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_{mark}") for c in df.columns])
+
+
+def _unit_links(docs: DataFrame, units: DataFrame, threshold: float, **options) -> DataFrame:
+    """Pairs of units (columns of ``units`` ending in _a and _b) that share enough words and are not copies; each pair once."""
+    across = similar_classes(docs.select("cls", "words"), threshold, **options).select("cls_a", "cls_b")
+    a, b = _side(units, "a"), _side(units, "b")
+    between = across.join(a, "cls_a").join(b, "cls_b").where(F.col("copy_key_a") != F.col("copy_key_b"))
+    within = a.join(b, (F.col("cls_a") == F.col("cls_b")) & (F.col("copy_key_a") < F.col("copy_key_b")))
+    columns = [*a.columns, *b.columns]
+    return between.select(*columns).unionByName(within.select(*columns))
+
+
 def near_duplicates(questions: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """Pairs (ordinal_a, ordinal_b), ordinal_a < ordinal_b, of rows that are not copies and share ``threshold`` of their words.
 
-    Exact copies are compared once: pairs are found between classes of equal words and only then
-    expanded. A null stem or choice list counts as empty; rows without any word pair with nothing;
-    rows with a null ordinal are left out; other columns are ignored.
+    Exact copies are compared once: pairs are found between sets of copies and only then expanded. A null stem or
+    choice list counts as empty; rows without any word pair with nothing; rows with a null ordinal are left out;
+    other columns are ignored. Where sets of copies are large, :func:`near_links` has the same links unexpanded.
     """
     docs = Scratch(questions.sparkSession).keep(question_words(questions), "documents")
-    across = similar_classes(docs.select("cls", "words"), threshold, **options).select("cls_a", "cls_b")
-    # Members are spread by class once; every join below is on the class and reuses that exchange.
-    members = docs.where(F.size("words") > 0).select("cls", "copy_key", "ordinal").repartition("cls")
-    units = members.groupBy("cls", "copy_key").agg(F.lit(1).alias("one"))
+    units = _units(docs).select("cls", "copy_key")
+    linked = _unit_links(docs, units, threshold, **options)
+    # The planner's own exchanges, so that a class with many copies is split where it is skewed.
+    members = docs.where(F.size("words") > 0).select("cls", "copy_key", "ordinal")
+    both = linked.join(_side(members, "a"), ["cls_a", "copy_key_a"]).join(_side(members, "b"), ["cls_b", "copy_key_b"])
+    return both.select(F.least("ordinal_a", "ordinal_b").alias("ordinal_a"), F.greatest("ordinal_a", "ordinal_b").alias("ordinal_b"))
+
+
+def near_links(questions: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """Pairs (first_a, first_b), first_a < first_b, of linked sets of copies, each named by its smallest ordinal.
 
-    def side(df: DataFrame, mark: str) -> DataFrame:
-        return df.select(F.col("cls").alias(f"cls_{mark}"), F.col("copy_key").alias(f"key_{mark}"), *([F.col("ordinal").alias(mark)] if "ordinal" in df.columns else []))
+    Sets are of equal copies and equal words; with their members they say the same as all pairs of rows.
+    """
+    docs = Scratch(questions.sparkSession).keep(question_words(questions), "documents")
+    linked = _unit_links(docs, _units(docs).select("cls", "copy_key", "first"), threshold, **options)
+    return linked.select(F.least("first_a", "first_b").alias("first_a"), F.greatest("first_a", "first_b").alias("first_b"))
 
-    ua, ub = side(units, "a"), side(units, "b")
-    between = across.join(ua, "cls_a").join(ub, "cls_b").where(F.col("key_a") != F.col("key_b"))
-    within = ua.join(ub, (F.col("cls_a") == F.col("cls_b")) & (F.col("key_a") < F.col("key_b")))
-    linked = between.select("cls_a", "key_a", "cls_b", "key_b").unionByName(within.select("cls_a", "key_a", "cls_b", "key_b"))
-    ma, mb = side(members, "a").withColumnRenamed("key_a", "own_a"), side(members, "b").withColumnRenamed("key_b", "own_b")
-    first = linked.join(ma, "cls_a").where(F.col("key_a").bitwiseXOR(F.col("own_a")) == 0).drop("key_a", "own_a", "cls_a")
-    both = first.join(mb, "cls_b").where(F.col("key_b").bitwiseXOR(F.col("own_b")) == 0)
-    return both.select(F.least("a", "b").alias("ordinal_a"), F.greatest("a", "b").alias("ordinal_b"))
+
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node of every node's connected component, for the nodes of ``edges`` (a, b).
+
+    Large-star and small-star in turn, each round a written table of at most as many edges as before: neither edges
+    nor components meet in one task or the driver. Loops and repeated edges do nothing.
+    """
+    edge = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = scratch.keep(edge, "edges-0")
+    state = None
+    for number in range(1, most_rounds + 1):
+        every = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = every.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = every.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(low, "a")
+        small = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        now = scratch.keep(small, f"edges-{number}")
+        before, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def near_groups(questions: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """(ordinal, class_id, n_links, group_id) of every row with an ordinal: where it belongs.
+
+    ``class_id`` is the smallest ordinal of its copies with equal words, ``n_links`` the number of such sets it is
+    linked to, ``group_id`` the smallest ordinal of all that links and copies connect. Rows without any word have
+    no links; those among them that are copies of each other form one class.
+    """
+    scratch = Scratch(questions.sparkSession)
+    docs = scratch.keep(question_words(questions), "documents")
+    units = scratch.keep(docs.groupBy("cls", "copy_key").agg(F.min("ordinal").alias("first"), F.max(F.size("words")).alias("n_words")), "units")
+    links = scratch.keep(_unit_links(docs, units.where(F.col("n_words") > 0).select("cls", "copy_key", "first"), threshold, **options).select("first_a", "first_b"), "links")
+    ends = links.select(F.col("first_a").alias("first")).unionAll(links.select("first_b"))
+    degree = ends.groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
+    # Copies with different words (a hyphen more or less) belong together as well.
+    heads = units.groupBy("copy_key").agg(F.min("first").alias("head"))
+    tied = units.join(heads, "copy_key").where(F.col("first") != F.col("head")).select(F.col("first").alias("a"), F.col("head").alias("b"))
+    roots = components(links.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")).unionByName(tied), scratch)
+    named = units.join(degree, "first", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
+    named = named.select("cls", "copy_key", F.col("first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "first").alias("group_id"))
+    return docs.select("ordinal", "cls", "copy_key").join(named, ["cls", "copy_key"]).select("ordinal", "class_id", "n_links", "group_id")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "toy_normalized"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    return near_links(table(spark, folder, "toy_normalized"))
+
+
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "toy_normalized"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_links": p2_links, "p2_groups": p2_groups}
 
 
-def _oracle() -> str:
+def _oracle(result: str) -> str:
     from plumbline.llm.formatting_dedup import _sql_keys
 
     least = math.floor(THRESHOLD * 1000)
     return (
-        _sql_keys()
-        + f""", words AS (
-  SELECT DISTINCT q.ordinal, unnest(regexp_extract_all(lower(coalesce(q.question_text, '') || ' ' || coalesce((SELECT string_agg(t, ' ') FROM (SELECT unnest(json_extract_string(q.choices_json, '$[*].text')) AS t)), '')), '[\\p{{L}}\\p{{N}}]+')) AS w
+        _sql_keys().replace("WITH options", "WITH RECURSIVE options", 1)
+        + f""", bags AS (
+  SELECT q.ordinal, list_sort(list_distinct(regexp_extract_all(lower(coalesce(q.question_text, '') || ' ' || coalesce((SELECT string_agg(t, ' ') FROM (SELECT unnest(json_extract_string(q.choices_json, '$[*].text')) AS t)), '')), '[\\p{{L}}\\p{{N}}]+'))) AS bag
   FROM toy_normalized q
-), sizes AS (SELECT ordinal, count(*) AS n FROM words GROUP BY ordinal),
-shared AS (SELECT a.ordinal AS x, b.ordinal AS y, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.ordinal < b.ordinal GROUP BY ALL)
-SELECT x AS ordinal_a, y AS ordinal_b FROM shared
-JOIN sizes s ON s.ordinal = x JOIN sizes t ON t.ordinal = y
-JOIN keys k ON k.table_name = 'toy_normalized' AND k.id = x JOIN keys l ON l.table_name = 'toy_normalized' AND l.id = y
-WHERE k.key <> l.key AND 1000 * c >= {least} * (s.n + t.n - c)"""
+), words AS (SELECT ordinal, unnest(bag) AS w FROM bags), sizes AS (SELECT ordinal, len(bag) AS n FROM bags),
+shared AS (SELECT a.ordinal AS x, b.ordinal AS y, count(*) AS c FROM words a JOIN words b ON a.w = b.w AND a.ordinal < b.ordinal GROUP BY ALL),
+pairs AS (SELECT x AS ordinal_a, y AS ordinal_b FROM shared
+  JOIN sizes s ON s.ordinal = x JOIN sizes t ON t.ordinal = y
+  JOIN keys k ON k.table_name = 'toy_normalized' AND k.id = x JOIN keys l ON l.table_name = 'toy_normalized' AND l.id = y
+  WHERE k.key <> l.key AND 1000 * c >= {least} * (s.n + t.n - c)),
+classes AS (SELECT ordinal, min(ordinal) OVER (PARTITION BY bag, key) AS class_id, min(ordinal) OVER (PARTITION BY key) AS head FROM bags JOIN keys ON table_name = 'toy_normalized' AND id = ordinal),
+links AS (SELECT DISTINCT ordinal_a AS first_a, ordinal_b AS first_b FROM pairs JOIN classes a ON a.ordinal = ordinal_a AND a.class_id = ordinal_a JOIN classes b ON b.ordinal = ordinal_b AND b.class_id = ordinal_b){result}"""
     )
 
 
-ORACLE_SQL = {"p2_found": _oracle()}
+ORACLE_SQL = {
+    "p2_found": _oracle(" SELECT ordinal_a, ordinal_b FROM pairs"),
+    "p2_links": _oracle(" SELECT first_a, first_b FROM links"),
+    "p2_groups": _oracle(
+        """,
+edges AS (SELECT first_a AS x, first_b AS y FROM links UNION SELECT first_b, first_a FROM links UNION SELECT class_id, head FROM classes UNION SELECT head, class_id FROM classes),
+reach(x, r) AS (SELECT DISTINCT class_id, class_id FROM classes UNION SELECT e.y, r FROM reach JOIN edges e ON e.x = reach.x),
+roots AS (SELECT x, min(r) AS group_id FROM reach GROUP BY x), degree AS (SELECT x, count(*) AS n_links FROM (SELECT first_a AS x FROM links UNION ALL SELECT first_b FROM links) GROUP BY x)
+SELECT ordinal, class_id, coalesce(n_links, 0) AS n_links, group_id FROM classes c JOIN roots ON roots.x = class_id LEFT JOIN degree d ON d.x = class_id"""
+    ),
+}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import formatting_dedup as fd
 from plumbline.llm import near_duplicates as nd
+from plumbline.llm.common import Scratch
 from tests.conftest import SF, oracle_rows, same_rows
 
 
@@ -134,3 +135,64 @@ def test_near_duplicates_edges(spark):
 def test_equals_sql(spark, module):
     for name, sql in module.ORACLE_SQL.items():
         assert same_rows(module.QUERIES[name](spark, SF).toPandas(), oracle_rows(sql)), name
+
+
+def groups_of(edges):
+    root: dict[int, int] = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "star"])
+def test_components_equal_union_find(spark, kind):
+    rng = random.Random(2)
+    edges = {"random": [(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "path": [(i, i + 1) for i in range(120)], "star": [(500, i) for i in range(400)]}[kind] + [(7, 7)]
+    want = {x: r for x, r in groups_of([e for e in edges if e[0] != e[1]]).items()}
+    got = nd.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
+    assert {r.node: r.root for r in got} == want and len(got) == len(want)
+
+
+def test_components_of_nothing(spark):
+    assert nd.components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
+
+
+def test_links_and_groups_say_the_same_as_pairs(spark):
+    rows = [*fixture_rows(150, 4), (900, None, None), (901, "", []), (902, "mis-fire of one two three", []), (903, "misfire of one two three", [])]
+    pairs = brute([r if r[1] is not None else (r[0], "", []) for r in rows])
+    where = {r.ordinal: r for r in nd.near_groups(q(spark, rows)).collect()}
+    links = {(r.first_a, r.first_b) for r in nd.near_links(q(spark, rows)).collect()}
+    assert len(where) == len(rows)
+    assert {tuple(sorted((where[a].class_id, where[b].class_id))) for a, b in pairs} == links
+    assert all(r.n_links == sum(r.class_id in e for e in links) for r in where.values())
+    edges = [*pairs, *((r.ordinal, r.class_id) for r in where.values()), (900, 901), (902, 903)]
+    assert {o: r.group_id for o, r in where.items()} == groups_of(edges)
+    assert where[902].class_id != where[903].class_id and where[900].n_links == 0
+
+
+def test_a_class_with_a_third_of_all_rows(spark):
+    """Copies meet as one set: the links stay few, whatever the number of copies."""
+    rows = [(i, "one two three four five six seven eight", ["nine"]) for i in range(3000)] + [(4000, "one two three four five six seven eight", ["ten"])]
+    rows += [(5000 + i, f"x{i} y{i} z{i} u{i}", [f"v{i}"]) for i in range(6000)]
+    links = nd.near_links(q(spark, rows)).collect()
+    assert [(r.first_a, r.first_b) for r in links] == [(0, 4000)]
+    assert nd.near_duplicates(q(spark, rows)).count() == 3000
+
+
+def test_production_parameters_reach_the_pivot_splits(spark, monkeypatch):
+    """Variants of one question, and of a second: regions so large that pivots split them, with the default parameters."""
+    seen = []
+    split = nd._split
+    monkeypatch.setattr(nd, "_split", lambda *a: seen.append(a) or split(*a))
+    stems = [[f"a{i}" for i in range(9)], [f"b{i}" for i in range(9)]]
+    rows = [(k * 10_000 + i, " ".join([*stems[k], f"own{k}x{i}"]), []) for k in range(2) for i in range(2600)]
+    links = nd.near_links(q(spark, rows))
+    assert links.count() == 2 * 2600 * 2599 // 2 and seen
