@@ -96,8 +96,11 @@ def duplicate_runs(records: DataFrame) -> DataFrame:
     keyed = records.where(F.col("id").isNotNull()).select(
         F.coalesce("table_name", F.lit("")).alias("table_name"), F.col("id").cast("long").alias("id"), F.coalesce("key", F.lit("")).alias("key")
     )
-    ordered = keyed.withColumn("h", F.xxhash64("table_name", "key")).repartitionByRange("h", "id").sortWithinPartitions("h", "table_name", "key", "id")
-    runs = Scratch(spark).keep(ordered.mapInArrow(_scan, _RUN_SCHEMA), "runs")
+    # Written once: range boundaries are sampled in a pass of its own, which would make every key again.
+    scratch = Scratch(spark)
+    hashed = scratch.keep(keyed.withColumn("h", F.xxhash64("table_name", "key")), "keys")
+    ordered = hashed.repartitionByRange("h", "id").sortWithinPartitions("h", "table_name", "key", "id")
+    runs = scratch.keep(ordered.mapInArrow(_scan, _RUN_SCHEMA), "runs")
     # At most the runs at the two edges of each partition: the broadcast is bounded by the partition count.
     edges = runs.where(F.col("edge_key").isNotNull())
     true_first = edges.groupBy("table_name", "edge_key").agg(F.min("first_id").alias("set_first"), F.collect_set("run").alias("runs"))
