@@ -5,7 +5,7 @@ A seed ignores the words under the mask's gaps, so it still hits where single wo
 Test seeds and document seeds are joined, and every hit is verified word by word along its diagonal.
 
 Documents are read once. A bitmap of the test seeds, of a fixed size, lets only windows that can hit
-leave the scan; false hits are removed by the join, so the bitmap decides nothing.
+leave the scan; false hits are removed by the join, so the bitmap decides nothing. Only windows around hits are verified.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def _item_seeds(masks: tuple[str, ...]):
             _, lengths, hashes = _tokenised(batch.column("text"), cache)
             ids = batch.column("item_id").to_numpy(zero_copy_only=False)
             for _, owner, pos, seed in _seeds(hashes, lengths, masks):
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(ids[owner], pa.int64()), pa.array(pos, pa.int32())], names=["seed", "item_id", "item_pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(ids[owner], pa.int64()), pa.array(pos, pa.int32()), pa.array(lengths[owner], pa.int32())], names=["seed", "item_id", "item_pos", "item_words"])
 
     return rows
 
@@ -170,13 +170,30 @@ def _overlap(doc: list[str], item: list[str], shift: int, penalty: int) -> tuple
     return longest, matched, replaced
 
 
+_WINDOW_SCHEMA = "doc_id long, item_id long, shift int, window string"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every document and diagonal the words that the item can lie on, and the diagonal within them."""
+    for batch in batches:
+        out: dict[str, list] = {n: [] for n in ("doc_id", "item_id", "shift", "window")}
+        for doc_id, text, diagonals in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "words", "diagonals"))):
+            words = text.split(" ")
+            for d in diagonals:
+                low = max(0, d["shift"])
+                out["doc_id"].append(doc_id)
+                out["item_id"].append(d["item_id"])
+                out["shift"].append(d["shift"] - low)
+                out["window"].append(" ".join(words[low : d["shift"] + d["item_words"]]))
+        yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["item_id"], pa.int64()), pa.array(out["shift"], pa.int32()), pa.array(out["window"], pa.string())], names=list(out))
+
+
 def _verified(penalty: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = batch.to_pydict()
             items = {t: words_of(t) for t in set(got["item_text"])}
-            docs = {t: t.split(" ") for t in set(got["words"])}
-            measured = [_overlap(docs[w], items[t], s, penalty) for w, t, s in zip(got["words"], got["item_text"], got["shift"])]
+            measured = [_overlap(w.split(" "), items[t], s, penalty) for w, t, s in zip(got["window"], got["item_text"], got["shift"])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("item_id"), *[pa.array([m[i] for m in measured], pa.int32()) for i in range(3)]], names=["doc_id", "item_id", "run_words", "same_words", "replaced_words"]
             )
@@ -198,7 +215,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, masks: tuple[str, ..
         raise ValueError("masks must have one length")
     spark = documents.sparkSession
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    seeds = items.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_pos int").distinct()
+    seeds = items.mapInArrow(_item_seeds(masks), "seed long, item_id long, item_pos int, item_words int").distinct()
     bitmap = spark.sparkContext.broadcast(seed_bitmap(seeds, bitmap_bits))
     read = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hits = Scratch(spark).keep(read.mapInArrow(_document_hits(bitmap, masks, bitmap_bits), _HIT_SCHEMA), "hits")
@@ -206,10 +223,13 @@ def leaked_passages(documents: DataFrame, items: DataFrame, masks: tuple[str, ..
         hits.select("doc_id", F.explode("hits").alias("hit"))
         .select("doc_id", "hit.seed", "hit.pos")
         .join(seeds, "seed")
-        .select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .distinct()
+        .select("doc_id", F.struct("item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_words").alias("diagonal"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("diagonal").alias("diagonals"))
     )
-    pairs = diagonals.join(hits.select("doc_id", "words"), "doc_id").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "shift", "words", "item_text")
+    # A document's words are carried once, however many diagonals it has; beyond that only the windows on them travel.
+    windows = diagonals.join(hits.select("doc_id", "words"), "doc_id").mapInArrow(_windows, _WINDOW_SCHEMA)
+    pairs = windows.join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "shift", "window", "item_text")
     checked = pairs.mapInArrow(_verified(penalty), "doc_id long, item_id long, run_words int, same_words int, replaced_words int")
     best = F.max(F.struct((F.col("same_words") >= LEAST_WORDS).alias("long"), (F.col("same_words") - penalty * F.col("replaced_words")).alias("score"), "same_words", "replaced_words"))
     return checked.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), best.alias("best")).select("doc_id", "item_id", "run_words", "best.same_words", "best.replaced_words")
