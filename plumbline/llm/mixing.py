@@ -156,6 +156,9 @@ class Mixture:
         sources = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("sources", F.array().cast("array<string>")))))
         read = documents.select(F.col("doc_id").cast("long").alias("doc_id"), sources.alias("sources"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
         self.documents = Scratch(self.spark).keep(read, "documents")
+        # Sources that no plan names decide nothing, so patterns are sets of named ones: their number is that of the plans' sources, not the data's.
+        named = F.array(*[F.lit(r["source"]) for r in targets.where(F.col("source").isNotNull()).select("source").distinct().orderBy("source").collect()]).cast("array<string>")
+        self.documents = self.documents.withColumn("sources", F.array_intersect("sources", named))
         sums = self.documents.groupBy("sources").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).orderBy("sources").collect()
         self.patterns = [(tuple(r["sources"]), int(r["tokens"])) for r in sums]
         self.total = sum(t for _, t in self.patterns)
@@ -197,12 +200,30 @@ class Mixture:
         return placed.join(walks, "sources").withColumn("uses", uses).where(F.col("uses") > 0).select("plan_id", "source", "doc_id", "tokens", "uses")
 
     def shares(self, seed: int = 0) -> DataFrame:
-        """(plan_id, source, target_share, reached_tokens, reached_share, most_uses, short_tokens) of the drawn mixture."""
+        """(plan_id, source, target_share, reached_tokens, reached_share, mixture_tokens, wanted_share, most_uses, short_tokens) of the drawn mixture.
+
+        ``reached_share`` is the source's share of the drawn mixture of ``mixture_tokens``, so shares of a plan add up to
+        1; ``wanted_share`` is what was drawn in terms of the wanted size, the tokens of all documents.
+        """
         drawn = self.selection(seed).groupBy("plan_id", "source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("reached_tokens"), F.max("uses").alias("most_uses"))
         goals = self.spark.createDataFrame([(p, s, float(share)) for p, g in self.plans.items() for s, share, _ in g], "plan_id int, source string, target_share double")
         joined = goals.join(drawn, ["plan_id", "source"], "left").join(self.shortfalls().select("plan_id", "source", "short_tokens"), ["plan_id", "source"])
-        reached = F.coalesce("reached_tokens", F.lit(0)).cast("long")
-        return joined.select("plan_id", "source", "target_share", reached.alias("reached_tokens"), (reached / F.lit(max(1, self.total))).alias("reached_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short_tokens")
+        reached = joined.withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)).cast("long"))
+        # One row for each target.
+        summed = reached.withColumn("mixture_tokens", F.sum("reached_tokens").over(Window.partitionBy("plan_id")))
+        return summed.select(
+            "plan_id", "source", "target_share", "reached_tokens", (F.col("reached_tokens") / F.greatest("mixture_tokens", F.lit(1))).alias("reached_share"), "mixture_tokens",
+            (F.col("reached_tokens") / F.lit(max(1, self.total))).alias("wanted_share"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "short_tokens",
+        )
+
+    def totals(self) -> DataFrame:
+        """(plan_id, n_patterns, quota_tokens, routed_tokens) of each plan: the most that any mixture can give."""
+        rows = []
+        for plan, goals in self.plans.items():
+            flow, missing = self.routes[plan]
+            quota = sum((q for q in (Fraction(int(share * self.total * 10**6), 10**6) for _, share, _ in goals)), Fraction(0))
+            rows.append((plan, len(self.patterns), float(quota), float(sum(flow.values(), Fraction(0)))))
+        return self.spark.createDataFrame(rows, "plan_id int, n_patterns int, quota_tokens double, routed_tokens double")
 
 
 def test_mixture(spark: SparkSession, folder: str) -> Mixture:
@@ -223,11 +244,47 @@ def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     return test_mixture(spark, folder).selection()
 
 
-QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_selection": p7_selection}
+# The source that the last word of a title names.
+TITLE_SOURCES = {"notes": "study_notes", "thread": "forum", "sheet": "exam_sheets", "log": "tutoring_logs", "paper": "run_reports", "set": "benchmark_cards"}
+
+
+def overlapping_mixture(spark: SparkSession, folder: str) -> Mixture:
+    """Documents that count for their own source and for the one that their title names; sizes are bytes, so that SQL can tell them."""
+    kind = F.regexp_extract(F.lower("title"), "([a-z]+)$", 1)
+    named = F.lit(None).cast("string")
+    for word, source in TITLE_SOURCES.items():
+        named = F.when(kind == word, F.lit(source)).otherwise(named)
+    rows = table(spark, folder, "documents").select("doc_id", F.array("source", named).alias("sources"), F.octet_length("text").cast("long").alias("tokens"))
+    return Mixture(rows, table(spark, folder, "source_targets"))
+
+
+def p7_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """What plans can reach at most where documents belong to two sources."""
+    t = overlapping_mixture(spark, folder).totals()
+    return t.select("plan_id", "n_patterns", F.round("quota_tokens", 2).alias("quota_bytes"), F.round("routed_tokens", 2).alias("routed_bytes"))
+
+
+def p7_overlap_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of the mixture drawn where documents belong to two sources."""
+    return overlapping_mixture(spark, folder).shares()
+
+
+QUERIES = {"p7_found": p7_found, "p7_shares": p7_shares, "p7_selection": p7_selection, "p7_overlap": p7_overlap, "p7_overlap_shares": p7_overlap_shares}
+_TITLE_CASE = "CASE regexp_extract(lower(title), '([a-z]+)$', 1) " + " ".join(f"WHEN '{w}' THEN '{s}'" for w, s in TITLE_SOURCES.items()) + " END"
 # Tokens are not countable in SQL; bytes stand in for them, as any public tokenizer gives the same cases.
 ORACLE_SQL = {
     "p7_found": """
 WITH sizes AS (SELECT source, sum(coalesce(strlen(text), 0)) AS n FROM documents GROUP BY source)
 SELECT t.plan_id, t.source FROM source_targets t LEFT JOIN sizes s USING (source)
-WHERE t.max_uses * coalesce(s.n, 0) < t.target_share * (SELECT sum(n) FROM sizes)"""
+WHERE t.max_uses * coalesce(s.n, 0) < t.target_share * (SELECT sum(n) FROM sizes)""",
+    # The largest flow is the smallest cut: over all sets of sources whose quotas are cut, the rest being cut at the patterns.
+    "p7_overlap": f"""
+WITH d AS (SELECT list_sort(list_distinct(list_intersect([source, {_TITLE_CASE}], (SELECT list(DISTINCT source) FROM source_targets)))) AS s, sum(coalesce(strlen(text), 0)) AS n FROM documents GROUP BY 1),
+total AS (SELECT sum(n) AS n, count(*) AS patterns FROM d),
+g AS (SELECT plan_id, source, target_share * total.n AS quota, max_uses, row_number() OVER (PARTITION BY plan_id ORDER BY source) - 1 AS bit FROM source_targets, total),
+sets AS (SELECT DISTINCT plan_id, unnest(range(0, 512)) AS mask FROM g),
+quotas AS (SELECT plan_id, mask, coalesce(sum(quota) FILTER (mask & (1 << CAST(bit AS INT)) > 0), 0) AS cut FROM sets JOIN g USING (plan_id) GROUP BY ALL),
+pats AS (SELECT plan_id, mask, d.s, least(max(max_uses), coalesce(sum(max_uses) FILTER (mask & (1 << CAST(bit AS INT)) = 0), 0)) * max(d.n) AS cut FROM sets JOIN g USING (plan_id) JOIN d ON list_contains(d.s, g.source) GROUP BY ALL),
+cuts AS (SELECT plan_id, mask, q.cut + coalesce(p.cut, 0) AS cut FROM quotas q LEFT JOIN (SELECT plan_id, mask, sum(cut) AS cut FROM pats GROUP BY ALL) p USING (plan_id, mask))
+SELECT plan_id, CAST((SELECT patterns FROM total) AS INT) AS n_patterns, round((SELECT sum(quota) FROM g x WHERE x.plan_id = cuts.plan_id), 2) AS quota_bytes, round(min(cut), 2) AS routed_bytes FROM cuts GROUP BY plan_id""",
 }

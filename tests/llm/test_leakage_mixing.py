@@ -119,6 +119,23 @@ def test_flow_prefers_few_repetitions():
     assert missing == {"a": 700, "c": 100}
 
 
+def test_flow_equals_the_smallest_cut():
+    """Random overlapping patterns: the flow's total is the smallest cut over all sets of sources."""
+    rng = random.Random(11)
+    for _ in range(60):
+        names = "abcd"
+        patterns = [(tuple(s for s in names if rng.random() < 0.5), rng.randrange(1, 50)) for _ in range(rng.randrange(1, 8))]
+        total = sum(n for _, n in patterns)
+        targets = [(s, Fraction(rng.randrange(0, 40), 100), rng.randrange(0, 4)) for s in names]
+        flow, missing = mx.route(patterns, targets, total)
+        uses = {s: u for s, _, u in targets}
+        cuts = []
+        for mask in range(16):
+            low = {s for i, s in enumerate(names) if mask >> i & 1}
+            cuts.append(sum(f * total for s, f, _ in targets if s in low) + sum(n * min(max((uses[s] for s in p), default=0), sum(uses[s] for s in p if s not in low)) for p, n in patterns))
+        assert abs(sum(flow.values()) - min(cuts)) < Fraction(1, 10) and sum(missing.values()) >= 0
+
+
 def mixture(spark, docs, targets):
     d = spark.createDataFrame(docs, "doc_id long, sources array<string>, tokens long, source string")
     t = spark.createDataFrame(targets, "plan_id int, source string, target_share double, max_uses int")
@@ -135,7 +152,9 @@ def test_selection_keeps_caps_and_shares(spark):
     assert all(r.uses <= caps[r.plan_id, r.source] for r in picked)
     assert sorted(picked) == sorted(m.selection(7).collect()) and sorted(picked) != sorted(m.selection(8).collect())
     reached = {(r.plan_id, r.source): r for r in m.shares(7).collect()}
-    assert abs(reached[2, "a"].reached_share - 0.2) < 0.01 and abs(reached[2, "b"].reached_share - 0.05) < 0.01
+    assert abs(reached[2, "a"].wanted_share - 0.2) < 0.01 and abs(reached[2, "b"].wanted_share - 0.05) < 0.01
+    assert all(abs(sum(r.reached_share for k, r in reached.items() if k[0] == plan) - 1) < 1e-9 for plan in (1, 2))
+    assert abs(reached[2, "a"].reached_share - 0.8) < 0.02 and {r.mixture_tokens for k, r in reached.items() if k[0] == 2} == {reached[2, "a"].reached_tokens + reached[2, "b"].reached_tokens}
     assert reached[2, "none"].reached_tokens == 0
 
 
