@@ -167,7 +167,34 @@ def test_found_on_the_tables(spark):
     assert len(got) == len(set(got)) > 0
     none = {r.doc_id for r in table(spark, SF, "document_labels").where("area = 'none'").collect()}
     assert len(none & {r.doc_id for r in got}) <= len(none) / 2
-    assert {r.area for r in sa.p8_composition(spark, SF).collect()} <= {r.area for r in table(spark, SF, "subject_areas").collect()}
+    parts = sa.p8_composition(spark, SF).collect()
+    assert {r.area for r in parts} <= {r.area for r in table(spark, SF, "subject_areas").collect()} | {"none"}
+    assert abs(sum(r.document_share for r in parts) - 1) < 1e-9 and abs(sum(r.char_share for r in parts) - 1) < 1e-9
+
+
+def test_composition_counts_every_document(spark):
+    documents = spark.createDataFrame([(1, "abcd", "x"), (2, "ab", "x"), (3, None, "x"), (4, "ab", "x")], "doc_id long, text string, area string")
+    areas = spark.createDataFrame([(1, "law"), (1, "music"), (2, "law")], "doc_id long, area string")
+    got = {r.area: tuple(r)[1:] for r in sa.composition(documents, areas).collect()}
+    assert got == {"law": (2, 6, 1.5 / 4, 0.5), "music": (1, 4, 0.5 / 4, 0.25), "none": (2, 2, 0.5, 0.25)}
+    assert sa.composition(documents.where("doc_id > 9"), areas).count() == 0
+
+
+def test_training_in_tasks_equals_training_here(spark):
+    texts, labels = area_texts(200)
+    here, there = sa.train(texts, labels, ["law", "music"]), sa.train(texts, labels, ["law", "music"], None, spark)
+    assert np.allclose(here.weights, there.weights, atol=1e-6) and np.allclose(here.thresholds, there.thresholds) and (here.columns == there.columns).all()
+
+
+def test_hold_out_shares_nothing_with_training(monkeypatch):
+    texts, labels = area_texts(100)
+    seen = []
+    monkeypatch.setattr(sa, "calibrated", lambda scores, positive, weight: seen.append(len(scores)) or 0.0)
+    sa.train(texts * 2, labels * 2, ["law", "music"], [i % 50 for i in range(200)])
+    held = {i % 50 for i in range(200) if sa.xxhash.xxh32_intdigest(str(i % 50)) % 5 == 0}
+    trained = {tuple(s) for i, t in enumerate(texts * 2) if i % 50 not in held for s in sa.sentences_of(t)}
+    fresh = [s for i, t in enumerate(texts * 2) if i % 50 in held for s in sa.sentences_of(t) if tuple(s) not in trained]
+    assert seen == [len(fresh)] * 2
 
 
 def test_found_equals_sql(spark):
