@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.functions.options import labelled
 from plumbline.operators import fanout, matching, quality, voting
+from plumbline.operators.plugins import plugin
 from plumbline.operators.scoring import answer_status, parsed_and_scored, score
+from plumbline.sources import priors
+from plumbline.sources.scratch import Scratch
 
 #: (rows with prompt and options) -> the same rows plus status, raw_text, finish_reason, latency_seconds and, for scores, logprobs.
 Responder = Callable[[DataFrame], DataFrame]
@@ -64,15 +67,18 @@ def _rotated_votes(rotated: DataFrame, respond: Responder) -> DataFrame:
 
 
 def _collapsed(questions: DataFrame, votes: DataFrame, seed: int, benchmark: str, name: str) -> DataFrame:
-    """One result for each question from its rotation votes; the trace row is rotation 0."""
+    """One result for each question from its rotation votes, which are gathered once; the trace row is rotation 0.
+
+    ``questions`` have one row for each id, so a question's votes are as few as its options.
+    """
     trace = votes.groupBy("question_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rotation", "vote"))), lambda x: x["vote"]).alias("per_rotation_choices"),
         F.min_by(F.struct("prompt", "raw_text", "transport_status", "finish_reason"), "rotation").alias("t"),
         F.count(F.lit(1)).alias("n_permutations_total"),
         F.count_if(F.col("transport_status") == "failure").alias("n_permutations_failed"),
     )
-    won = voting.majority(votes, ["question_id"], "vote", F.lit(benchmark), F.col("question_id"), seed, name).select("question_id", F.col("winner").alias("parsed_choice"))
-    joined = questions.join(trace, "question_id").join(won, "question_id", "left")
+    won = voting.elected(trace, "per_rotation_choices", F.lit(benchmark), F.col("question_id"), seed, name).withColumnRenamed("winner", "parsed_choice").drop("votes_for", "n_tied")
+    joined = questions.join(won, "question_id")
     parsed = joined.select("*", "t.*").drop("t").withColumn("parse_status", F.when(F.col("parsed_choice").isNotNull(), "parse_ok").otherwise("parse_missing")).withColumn("parse_reason", F.lit("majority_vote"))
     return _final(score(parsed), name)
 
@@ -88,13 +94,15 @@ def cyclic_permutation(questions: DataFrame, respond: Responder, seed: int = 0,
 def two_stage(questions: DataFrame, respond: Responder, fallback: bool = True, **_) -> DataFrame:
     """Free text without options, then its match to a letter; an unparsed second stage may fall back to the direct prompt.
 
-    A failed first stage ends the row; a failed second stage does not fall back.
+    Each stage is written before the next one reads it. A failed first stage ends the row; a failed second stage does not fall back.
     """
     asked = _asked(questions)
     first = respond(asked.withColumn("prompt", fanout.free_text_prompt())).withColumnsRenamed({"prompt": "free_text_prompt", "raw_text": "free_text_response", "latency_seconds": "free_text_latency", "status": "free_status"})
-    kept = first.drop("finish_reason", "logprobs")
+    # Whatever else the responder says of the first call would meet the same columns of the next one.
+    kept = first.drop(*[c for c in first.columns if c not in asked.columns and not c.startswith("free_")])
+    kept = Scratch(questions.sparkSession).keep(kept, "first-stage")
     alive, ended = kept.where(F.col("free_status") != "failure"), kept.where(F.col("free_status") == "failure")
-    second = parsed_and_scored(respond(alive.withColumn("prompt", fanout.matching_prompt(F.col("options"), F.col("free_text_response")))))
+    second = Scratch(questions.sparkSession).keep(parsed_and_scored(respond(alive.withColumn("prompt", fanout.matching_prompt(F.col("options"), F.col("free_text_response"))))), "second-stage")
     unparsed = (F.col("transport_status") != "failure") & F.col("parsed_choice").isNull() & F.lit(fallback)
     done = second.where(~unparsed).withColumn("fallback_used", F.lit(False))
     again = second.where(unparsed).select(*kept.columns)
@@ -164,20 +172,30 @@ def global_prior(matrices: DataFrame) -> DataFrame:
 
 
 @method("pride", scores=True, gated=True)
-def pride(questions: DataFrame, respond: Responder, calibration: DataFrame | None = None, threshold: float = 0.95, **_) -> DataFrame:
+def pride(questions: DataFrame, respond: Responder, calibration: DataFrame | None = None, threshold: float = 0.95, priors_folder: str | None = None, prior_settings: dict | None = None, **_) -> DataFrame:
     """Calibrate a position prior on ``calibration`` questions by rotations, then one debiased answer for each question (Eq. 8).
 
     Only questions with the modal number of options are answered (the gate raises below ``threshold``);
     calibration questions with another number are left out; a calibration question whose rotations all fail is
-    an error; without calibration questions the prior is uniform.
+    an error; without calibration questions the prior is uniform. With ``priors_folder`` a prior stored for exactly these
+    calibration questions and ``prior_settings`` (see :func:`plumbline.sources.priors.prior_key`) is used without a call,
+    and a new one is stored.
     """
     modal = quality.modal_k(questions).first()["modal_k"]
     kept = quality.apply_modal_k_gate(questions, modal, threshold)
     report = quality.gate_report(questions, modal, threshold).first()
     if calibration is not None:
-        rolled = rollouts(calibration.where(F.col("n_choices") == modal), respond)
-        bad = F.assert_true(F.col("n_permutations_failed") < F.col("n_permutations_total"), "all rotations of a calibration question failed")
-        prior = global_prior(rolled.where(F.coalesce(bad.isNull(), F.lit(True))))
+        usable = calibration.where(F.col("n_choices") == modal)
+
+        def fresh() -> DataFrame:
+            bad = F.assert_true(F.col("n_permutations_failed") < F.col("n_permutations_total"), "all rotations of a calibration question failed")
+            return global_prior(rollouts(usable, respond).where(F.coalesce(bad.isNull(), F.lit(True))))
+
+        if priors_folder is None:
+            prior = fresh()
+        else:
+            stored = priors.load_or_compute(priors_folder, priors.prior_key(usable, n_choices=modal, **(prior_settings or {})), lambda: fresh().first()["peprior"] or {})
+            prior = questions.sparkSession.createDataFrame([(stored or None,)], "peprior map<string,double>")
     else:
         prior = questions.sparkSession.createDataFrame([(None,)], "peprior map<string,double>")
     asked = respond(_asked(kept).withColumn("prompt", fanout.direct_prompt(F.col("options")))).crossJoin(F.broadcast(prior))
@@ -195,9 +213,20 @@ def from_free_text(results: DataFrame, seed: int = 0, benchmark: str = "") -> Da
     return _probability_result(traced.drop("stage", "answer_status"), "derived_match", "option_match")
 
 
+def resolve_method(name: str) -> tuple[Callable[..., DataFrame], bool, bool]:
+    """(function, needs option scores, is gated) of a registered name or of a plugin ``module:function``.
+
+    A plugin takes (questions, respond, **parameters) and may set ``needs_scores`` and ``gated`` on itself.
+    """
+    if name in METHODS:
+        return METHODS[name]
+    function = plugin(name)
+    return function, bool(getattr(function, "needs_scores", False)), bool(getattr(function, "gated", False))
+
+
 def run_method(name: str, questions: DataFrame, respond: Responder, supports_scores: bool = True, **params) -> DataFrame:
-    """Run a registered method; one that needs option scores refuses a responder without them before any work."""
-    function, scores, _ = METHODS[name]
+    """Run a registered method or a plugin; one that needs option scores refuses a responder without them before any work."""
+    function, scores, _ = resolve_method(name)
     if scores and not supports_scores:
         raise ValueError(f"{name} needs option scores")
     return function(questions, respond, **params)

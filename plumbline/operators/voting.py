@@ -34,3 +34,19 @@ def majority(df: DataFrame, keys: list[str], choice: str, benchmark: Column, que
     chosen = tied.withColumn("__w", tie_udf(seed, method, namespace)(benchmark, question, F.col("__ids")))
     broken = chosen.select(*keys, "votes", F.size("tied").alias("n_tied"), F.get("tied", F.array_position("__ids", F.col("__w")).cast("int") - 1).alias("winner"))
     return clear.unionByName(broken)
+
+
+def elected(df: DataFrame, votes: str, benchmark: Column, question: Column, seed: int, method: str, namespace: str = TIE_NAMESPACE) -> DataFrame:
+    """``df`` plus votes_for, n_tied and winner of its array of letters ``votes`` (nulls are no votes), ties as in :func:`majority`.
+
+    For votes that are together already, as the rotations of one question: no aggregation. Only tied rows reach Python.
+    """
+    cast = F.filter(votes, lambda x: x.isNotNull())
+    counted = F.transform(F.array_sort(F.array_distinct(cast)), lambda x: F.struct(F.size(F.filter(cast, lambda y: y == x)).alias("n"), x.alias("letter")))
+    led = df.withColumn("__c", counted).withColumn("votes_for", F.array_max(F.transform("__c", lambda x: x["n"])))
+    led = led.withColumn("__tied", F.transform(F.filter("__c", lambda x: x["n"] == F.col("votes_for")), lambda x: x["letter"])).drop("__c")
+    clear = led.where(F.size("__tied") < 2).select(*df.columns, "votes_for", F.size("__tied").alias("n_tied"), F.get("__tied", F.lit(0)).alias("winner"))
+    tied = led.where(F.size("__tied") > 1).withColumn("__ids", F.transform("__tied", lambda x: (F.ascii(x) - 65).cast("int")))
+    chosen = tied.withColumn("__w", tie_udf(seed, method, namespace)(benchmark, question, F.col("__ids")))
+    broken = chosen.select(*df.columns, "votes_for", F.size("__tied").alias("n_tied"), F.get("__tied", F.array_position("__ids", F.col("__w")).cast("int") - 1).alias("winner"))
+    return clear.unionByName(broken)

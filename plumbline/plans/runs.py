@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.identity import digest, is_credential_key, short_id
 from plumbline.functions.text import RUN_ID
-from plumbline.operators.methods import METHODS
-from plumbline.sources.artifacts import write_json
+from plumbline.operators.methods import resolve_method
+from plumbline.sources import storage
+from plumbline.sources.scratch import Scratch
+from plumbline.sources.storage import read_json, write_json
 
 MANIFEST_VERSION = "plumbline.manifest.v1"
 STATUSES = ("pending", "completed", "failed", "gated")
@@ -141,9 +142,11 @@ def check(config: Experiment) -> None:
         if len(set(keys)) != len(keys):
             raise ConfigError(f"{what} are given twice")
     for choice in config.methods:
-        if choice.name not in METHODS:
-            raise ConfigError(f"unknown method {choice.name}")
-        if METHODS[choice.name][1] and (weak := [m.name for m in config.models if m.kind not in SCORING_KINDS]):
+        try:
+            needs_scores = resolve_method(choice.name)[1]
+        except ValueError as e:
+            raise ConfigError(str(e)) from e
+        if needs_scores and (weak := [m.name for m in config.models if m.kind not in SCORING_KINDS]):
             raise ConfigError(f"{choice.name} needs option scores; {', '.join(weak)} has none")
 
 
@@ -183,13 +186,13 @@ def manifest(config: Experiment, artifacts: dict[str, str] | None = None) -> dic
 
 def ensure_manifest(folder: str | Path, wanted: dict) -> dict:
     """Create the manifest or verify that the stored one is the same; names the sections that differ."""
-    path = Path(folder, "manifest.json")
-    if not path.exists():
-        if Path(folder).exists() and any(Path(folder).iterdir()):
+    path = storage.join(folder, "manifest.json")
+    if not storage.exists(path):
+        if storage.entries(folder):
             raise ConfigError("the folder holds something else")
         write_json(path, wanted)
         return wanted
-    stored = json.loads(path.read_text())
+    stored = read_json(path)
     body = {k: v for k, v in stored.items() if k != "experiment_id"}
     if stored.get("experiment_id") != short_id("exp", body):
         raise ConfigError("the stored manifest was changed")
@@ -203,8 +206,8 @@ class RunState:
     """Status of each condition, written whole after every change."""
 
     def __init__(self, folder: str | Path, conditions: Iterable[str]):
-        self.path = Path(folder, "run_state.json")
-        known = json.loads(self.path.read_text()) if self.path.exists() else {}
+        self.path = storage.join(folder, "run_state.json")
+        known = read_json(self.path) if storage.exists(self.path) else {}
         self.status = {c: known.get(c, "pending") for c in conditions}
         if bad := [s for s in self.status.values() if s not in STATUSES]:
             raise ConfigError(f"unknown status {bad[0]}")
@@ -216,6 +219,24 @@ class RunState:
         self.status[condition] = status
         write_json(self.path, self.status)
 
+    def reconcile(self, results: DataFrame, expected: DataFrame) -> dict[str, str]:
+        """Bring the statuses in line with the stored ``results``; returns those that changed.
+
+        ``expected`` is (condition_id, question_id). A completed condition that lacks a question goes back to pending; a
+        pending or failed one that has them all is completed. Gated conditions have no results and stay.
+        """
+        have = results.select("condition_id", "question_id").distinct().withColumn("h", F.lit(1))
+        gaps = expected.select("condition_id", "question_id").distinct().join(have, ["condition_id", "question_id"], "left").groupBy("condition_id").agg(F.count_if(F.col("h").isNull()).alias("n"))
+        missing = {r["condition_id"]: r["n"] for r in gaps.collect()}  # one row for each condition
+        changed = {}
+        for c, status in self.status.items():
+            n = missing.get(c)
+            if status != "gated" and n is not None and (now := "pending" if n and status == "completed" else status if n else "completed") != status:
+                self.status[c] = changed[c] = now
+        if changed:
+            write_json(self.path, self.status)
+        return changed
+
     def evaluable(self) -> list[str]:
         """Completed conditions; pending ones are an error, gated and failed ones are listed without metrics."""
         if pending := [c for c, s in self.status.items() if s == "pending"]:
@@ -242,24 +263,52 @@ def run_conditions(state: RunState, run: Callable[[str], None], gated: type[Exce
     return dict(state.status)
 
 
+#: What a run folder may hold; anything else keeps it from being reset.
+RUN_FILES = ("manifest.json", "run_state.json", "evaluation_report.json", "inputs", "results", "priors", "cache", "batch_state.json")
+
+
+def reset_run(folder: str, run_id: str, keep: tuple[str, ...] = ("inputs", "cache")) -> list[str]:
+    """Delete what a run made, but for ``keep``; returns the names deleted.
+
+    Refused before anything is touched: a folder without a manifest, of another run, or that holds foreign files.
+    """
+    path = storage.join(folder, "manifest.json")
+    if not storage.exists(path):
+        raise ConfigError("no run in this folder")
+    if read_json(path)["config"]["run_id"] != run_id:
+        raise ConfigError("the folder belongs to another run")
+    names = storage.entries(folder)
+    if foreign := [n for n in names if n not in RUN_FILES and not n.startswith((".", "requests-"))]:
+        raise ConfigError(f"the folder holds other files: {', '.join(foreign)}")
+    # The manifest goes last: a reset that was broken off can be repeated.
+    gone = sorted((n for n in names if n not in keep), key=lambda n: (n == "manifest.json", n))
+    for name in gone:
+        storage.remove(storage.join(folder, name), folder=not name.endswith(".json"))
+    return gone
+
+
 def resume(questions: DataFrame, sink_path: str, schema: str, every: int, process: Callable[[DataFrame], DataFrame]) -> int:
     """Process the questions that the sink lacks, chunk by chunk, appending each chunk; returns the chunks run.
 
-    A chunk whose result ids are not its question ids is an error before anything of it is written.
+    A chunk is processed once: its results are written apart, checked there and then moved to the sink. One whose result
+    ids are not its question ids is an error before anything of it reaches the sink.
     """
     from plumbline.operators.selection import chunks, remaining
 
     spark = questions.sparkSession
-    done = spark.read.schema(schema).parquet(sink_path) if Path(sink_path).exists() else spark.createDataFrame([], schema)
-    todo = chunks(remaining(questions, done), every)
+    scratch = Scratch(spark)
+    done = spark.read.schema(schema).parquet(sink_path) if storage.exists(sink_path) else spark.createDataFrame([], schema)
+    # Written before the first chunk is added, as the sink it was read from grows.
+    todo = scratch.keep(chunks(remaining(questions, done), every), "todo")
     last = todo.agg(F.max("chunk_number")).first()[0]
     for number in range((last if last is not None else -1) + 1):
         part = todo.where(F.col("chunk_number") == number).drop("chunk_number")
-        out = process(part)
-        asked, got = part.select("question_id"), out.select("question_id")
-        if not asked.exceptAll(got).isEmpty() or not got.exceptAll(asked).isEmpty():
+        out = scratch.keep(process(part), f"chunk-{number}")
+        counted = part.select("question_id", F.lit(1).alias("n")).unionAll(out.select("question_id", F.lit(-1))).groupBy("question_id").agg(F.sum("n").alias("n"))
+        if not counted.where(F.col("n") != 0).isEmpty():
             raise ValueError("results do not belong to the questions of the chunk")
         out.write.mode("append").parquet(sink_path)
+    scratch.release()
     return (last if last is not None else -1) + 1
 
 
@@ -268,7 +317,7 @@ def snapshot(selection: DataFrame, prompts: dict[str, str], folder: str, name: s
     from plumbline.sources.artifacts import content_digest
 
     selection.write.mode("overwrite").parquet(f"{folder}/inputs/{name}")
-    write_json(Path(folder, "inputs", f"{name}_prompts.json"), prompts)
+    write_json(storage.join(folder, "inputs", f"{name}_prompts.json"), prompts)
     return {f"{name}.questions": content_digest(selection), f"{name}.prompts": digest(prompts)}
 
 
@@ -287,5 +336,5 @@ def evaluation_report(results: DataFrame, state: RunState, metric_names: list[st
     status = {c: health.get(c, s) if s == "completed" else s for c, s in sorted(state.status.items())}
     body = {"metrics": sorted(metric_names), "conditions": {c: {"status": s, "values": values.get(c)} for c, s in status.items()}, "complete": not any(s in ("failed", "infra_failure") for s in status.values())}
     report = {"evaluation_id": short_id("eval", body), **body}
-    write_report(Path(folder, "evaluation_report.json"), report)
+    write_report(storage.join(folder, "evaluation_report.json"), report)
     return report

@@ -6,20 +6,18 @@ content digests are folded from one hash per block of ordinals, so no table ever
 
 from __future__ import annotations
 
-import fcntl
 import hashlib
 import json
-import os
-import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
-from pathlib import Path
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import digest, row_digest, short_id
 from plumbline.schemas import IDENTITY_COLUMNS
+from plumbline.sources import storage
+from plumbline.sources.storage import read_json, write_json
 
 VERSION = "plumbline.dataset.v1"
 RESULT_VERSION = "plumbline.results.v1"
@@ -29,35 +27,19 @@ class ArtifactError(ValueError):
     """An artifact that is missing, changed or not what its specification says."""
 
 
-def write_json(path: Path, value: object) -> None:
-    """Write JSON whole: temporary file, flush to disk, rename."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=path.parent)
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(value, f, sort_keys=True, indent=1, allow_nan=False)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path)
-    except BaseException:
-        Path(name).unlink(missing_ok=True)
-        raise
-
-
-def write_report(path: Path, value: object) -> None:
+def write_report(path: object, value: object) -> None:
     """Write a JSON report once; different contents at the same place are an error."""
-    if path.exists() and json.loads(path.read_text()) != json.loads(json.dumps(value)):
+    if storage.exists(path) and read_json(path) != json.loads(json.dumps(value)):
         raise ArtifactError(f"a different report is already at {path}")
     write_json(path, value)
 
 
 @contextmanager
-def locked(path: Path) -> Iterator[None]:
+def locked(path: object) -> Iterator[None]:
     """Exclusive lock of a file; a lock held by someone else is an error at once."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a") as f:
+    with ExitStack() as held:
         try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+            held.enter_context(storage.locked(path))
         except BlockingIOError as e:
             raise ArtifactError(f"{path} is locked") from e
         yield
@@ -78,9 +60,9 @@ def content_digest(df: DataFrame, order: str = "ordinal", block: int = 65_536) -
     return total.hexdigest()
 
 
-def dataset_path(root: str, spec: dict) -> Path:
+def dataset_path(root: str, spec: dict) -> str:
     """``name/split/norm-vN/src_<12 hex>`` below the root, the last part from the whole specification."""
-    return Path(root, spec["name"], spec["split"], f"norm-v{spec.get('norm_version', 1)}", f"src_{digest(spec)[:12]}")
+    return storage.join(root, spec["name"], spec["split"], f"norm-v{spec.get('norm_version', 1)}", f"src_{digest(spec)[:12]}")
 
 
 def write_dataset(df: DataFrame, root: str, spec: dict) -> dict:
@@ -88,26 +70,26 @@ def write_dataset(df: DataFrame, root: str, spec: dict) -> dict:
     from plumbline.operators.quality import validation
 
     path = dataset_path(root, spec)
-    with locked(path / ".lock"):
+    with locked(f"{path}/.lock"):
         report = validation(df).first().asDict()
         if not report["n_rows"] or any(report[k] for k in ("null_ids", "blank_ids", "repeated_rows", "null_stems")):
             raise ArtifactError(f"dataset is not valid: {report}")
-        df.write.mode("overwrite").parquet(str(path / "data"))
-        back = df.sparkSession.read.schema(df.schema).parquet(str(path / "data"))
+        df.write.mode("overwrite").parquet(f"{path}/data")
+        back = df.sparkSession.read.schema(df.schema).parquet(f"{path}/data")
         content = content_digest(back)
         meta = {"version": VERSION, "spec": spec, "rows": back.count(), "content_digest": content, "artifact_id": short_id("ds", {"spec": spec, "content": content})}
-        write_json(path / "metadata.json", {**meta, "metadata_digest": digest(meta)})
+        write_json(f"{path}/metadata.json", {**meta, "metadata_digest": digest(meta)})
     return meta
 
 
 def read_dataset(spark: SparkSession, root: str, spec: dict, schema) -> tuple[DataFrame, dict]:
     """The verified dataset of a specification: version, metadata digest, specification, rows and content digest must agree."""
     path = dataset_path(root, spec)
-    if not (path / "metadata.json").exists():
+    if not storage.exists(f"{path}/metadata.json"):
         raise ArtifactError(f"no dataset at {path}")
-    meta = json.loads((path / "metadata.json").read_text())
+    meta = read_json(f"{path}/metadata.json")
     claimed = meta.pop("metadata_digest", None)
-    df = spark.read.schema(schema).parquet(str(path / "data"))
+    df = spark.read.schema(schema).parquet(f"{path}/data")
     checks = {"version": meta["version"] == VERSION, "metadata": claimed == digest(meta), "specification": meta["spec"] == spec, "rows": meta["rows"] == df.count(), "content": meta["content_digest"] == content_digest(df)}
     if bad := [k for k, ok in checks.items() if not ok]:
         raise ArtifactError(f"dataset at {path} fails: {', '.join(bad)}")
@@ -122,14 +104,14 @@ def identity_problems(results: DataFrame, columns: tuple[str, ...] = IDENTITY_CO
 
 
 def write_results(results: DataFrame, folder: str) -> dict:
-    """Append results, partitioned by condition; empty results, missing identity columns and bad identities are errors."""
+    """Append results, partitioned by condition and spread by question, so that a repeated task writes the same rows; empty results, missing identity columns and bad identities are errors."""
     if missing := [c for c in IDENTITY_COLUMNS if c not in results.columns]:
         raise ArtifactError(f"missing identity columns: {', '.join(missing)}")
     if results.isEmpty():
         raise ArtifactError("no results to write")
     if bad := identity_problems(results).limit(20).collect():
         raise ArtifactError("; ".join(f"{r['condition_id']}: {r['problem']}" for r in bad))
-    results.repartition("condition_id", F.floor(F.rand(7) * 8)).write.mode("append").partitionBy("condition_id").parquet(folder)
+    results.repartition("condition_id", F.pmod(F.xxhash64("question_id"), F.lit(8))).write.mode("append").partitionBy("condition_id").parquet(folder)
     return {"version": RESULT_VERSION, "columns_digest": digest(sorted((f.name, f.dataType.simpleString()) for f in results.schema.fields))}
 
 

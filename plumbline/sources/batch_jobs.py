@@ -6,17 +6,15 @@ instead of paying twice. A job that fails or loses a request gives failure rows,
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import digest
-from plumbline.sources.artifacts import write_json
+from plumbline.sources import storage
 
 DONE, FAILED = "completed", "failed"
 
@@ -44,16 +42,16 @@ def run_batch(misses: DataFrame, client: BatchClient, folder: str, every: float
     """(cache_key, status, raw_text, finish_reason, error_message) of every missing request; no requests give no job."""
     spark = misses.sparkSession
     schema = "custom_id string, raw_text string, finish_reason string, error string"
-    state_path = Path(folder, "batch_state.json")
+    state_path = storage.join(folder, "batch_state.json")
     key = request_set(misses)
     if key.startswith("0-"):
         return spark.createDataFrame([], "cache_key string, status string, raw_text string, finish_reason string, error_message string")
-    state = json.loads(state_path.read_text()) if state_path.exists() else {}
+    state = storage.read_json(state_path) if storage.exists(state_path) else {}
     if state.get("key") != key:
         out = f"{folder}/requests-{digest(key)[:16]}"
         misses.select(F.col("cache_key").alias("custom_id"), "prompt").write.mode("overwrite").json(out)
         state = {"key": key, "job": client.submit(out)}
-        write_json(state_path, state)
+        storage.write_json(state_path, state)
     while (now := client.poll(state["job"])) not in (DONE, FAILED):
         sleep(every)
     if now == DONE:
@@ -68,4 +66,4 @@ def run_batch(misses: DataFrame, client: BatchClient, folder: str, every: float
 
 def clear_state(folder: str) -> None:
     """Forget a finished job."""
-    Path(folder, "batch_state.json").unlink(missing_ok=True)
+    storage.remove(storage.join(folder, "batch_state.json"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 
 from plumbline.functions.identity import digest
 from plumbline.functions.vectors import EPSILON
-from plumbline.sources.artifacts import ArtifactError, content_digest, write_json
+from plumbline.sources.artifacts import ArtifactError, content_digest
+from plumbline.sources.storage import exists, join, read_json, write_json
 
 VERSION = "plumbline.prior.v1"
 
@@ -22,9 +20,9 @@ def prior_key(calibration: DataFrame, *, condition_id: str, seed: int, temperatu
 
 def load_or_compute(folder: str, key: dict, compute) -> dict[str, float]:
     """The stored prior of ``key``, or a new one from ``compute``; a changed file is an error."""
-    path = Path(folder, f"prior_{digest(key)[:16]}.json")
-    if path.exists():
-        stored = json.loads(path.read_text())
+    path = join(folder, f"prior_{digest(key)[:16]}.json")
+    if exists(path):
+        stored = read_json(path)
         claimed = stored.pop("digest", None)
         if claimed != digest(stored) or stored["key"] != key:
             raise ArtifactError(f"{path} was changed")

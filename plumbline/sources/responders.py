@@ -1,8 +1,8 @@
 """Models as a source: responders that answer prompts inside the plan.
 
 ``dummy`` is built of literals. ``recorded`` joins a table of stored responses. ``cached`` asks only for what
-a content-addressed table misses. ``client_responder`` runs any Python client once per partition, with
-retries; a call that fails is a row, never an exception.
+a content-addressed table misses. ``client_responder`` runs any Python client, each prompt once, with retries; a
+call that fails is a row, never an exception.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.identity import cache_key
+from plumbline.sources import storage
+from plumbline.sources.scratch import Scratch
 
 # Fixed values of the dummy model.
 DUMMY_TEXT = "The answer is A."
@@ -84,19 +86,25 @@ def shared_client(key: str, make: Callable[[], Callable[[str], str]]) -> Callabl
     return _CLIENTS[key]
 
 
-def client_responder(make_client: Callable[[], Callable[[str], str]], concurrency: int = 4, **retry) -> Callable[[DataFrame], DataFrame]:
-    """A responder around a Python client: one client for each partition, ``concurrency`` calls at a time, order kept."""
+def client_responder(make_client: Callable[[], Callable[[str], str]], concurrency: int = 4, limit: int = 32, key: str | None = None, **retry) -> Callable[[DataFrame], DataFrame]:
+    """A responder around a Python client that asks each distinct prompt once.
+
+    At most ``limit`` calls of the model are under way in the whole cluster, ``concurrency`` of them in one task: so
+    many tasks hold the prompts, by a hash of them. With ``key`` (model and execution mode) a worker makes one client
+    for all its tasks. The answers are written before anything reads them, so no plan that uses them twice asks twice;
+    only a task that is lost before it ends asks its prompts again.
+    """
 
     def respond(df: DataFrame) -> DataFrame:
         def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            client = make_client()
+            client = shared_client(key, make_client) if key else make_client()
             with ThreadPoolExecutor(concurrency) as pool:
                 for part in parts:
                     rows = list(pool.map(lambda p: call_with_retries(client, p, **retry), part["prompt"]))
                     yield pd.concat([part.reset_index(drop=True), pd.DataFrame(rows, columns=["status", "raw_text", "finish_reason", "latency_seconds", "error_type", "error_message"])], axis=1)
 
-        once = df.select(F.xxhash64("prompt").alias("__h"), "prompt").distinct()
-        answered = once.mapInPandas(ask, f"__h long, prompt string, {_FIELDS}").drop("__h")
+        once = df.select("prompt").where(F.col("prompt").isNotNull()).distinct().repartition(max(1, limit // concurrency), "prompt")
+        answered = Scratch(df.sparkSession).keep(once.mapInPandas(ask, f"prompt string, {_FIELDS}"), "responses")
         return df.join(answered, "prompt", "left").withColumn("logprobs", F.lit(None).cast("array<double>"))
 
     return respond
@@ -122,13 +130,36 @@ def cache_rows(responses: DataFrame) -> DataFrame:
     return responses.where(F.col("status") == "success").select("cache_key", "status", "raw_text", "finish_reason", F.sha2(F.coalesce("raw_text", F.lit("")), 256).alias("payload_digest"))
 
 
-def cached(respond: Callable[[DataFrame], DataFrame], cache: DataFrame, **identity) -> Callable[[DataFrame], DataFrame]:
-    """A responder that asks ``respond`` only for misses."""
+class ResponseCache:
+    """A content-addressed table of paid-for responses in a shared folder; parts are only ever added."""
+
+    SCHEMA = "cache_key string, status string, raw_text string, finish_reason string, payload_digest string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self) -> DataFrame:
+        """All cached responses."""
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder) if storage.exists(self.folder) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def append(self, responses: DataFrame) -> None:
+        """Add the successful ones of ``responses`` (cache_key, status, raw_text, finish_reason)."""
+        cache_rows(responses).write.mode("append").parquet(self.folder)
+
+
+def cached(respond: Callable[[DataFrame], DataFrame], cache: DataFrame | ResponseCache, **identity) -> Callable[[DataFrame], DataFrame]:
+    """A responder that asks ``respond`` only for what the cache misses and, given a :class:`ResponseCache`, adds what it paid for."""
 
     def answer(df: DataFrame) -> DataFrame:
         keyed = with_cache_key(df, **identity)
-        fresh = respond(cache_misses(keyed, cache)).select("cache_key", "status", "raw_text", "finish_reason")
-        known = usable_cache(cache).select("cache_key", "status", "raw_text", "finish_reason").dropDuplicates(["cache_key"]).unionByName(fresh)
-        return keyed.join(known, "cache_key", "left").withColumn("latency_seconds", F.lit(None).cast("double")).withColumn("logprobs", F.lit(None).cast("array<double>"))
+        have = cache.read() if isinstance(cache, ResponseCache) else cache
+        fields = ["cache_key", "status", "raw_text", "finish_reason"]
+        scratch = Scratch(df.sparkSession)
+        # Known first: what is added below must not be read back as known and fresh.
+        known = scratch.keep(usable_cache(have).join(keyed.select("cache_key").distinct(), "cache_key", "left_semi").select(*fields).dropDuplicates(["cache_key"]), "known")
+        fresh = scratch.keep(respond(cache_misses(keyed, known.withColumn("payload_digest", F.sha2(F.coalesce("raw_text", F.lit("")), 256)))).select(*fields), "fresh")
+        if isinstance(cache, ResponseCache):
+            cache.append(fresh)
+        return keyed.join(known.unionByName(fresh), "cache_key", "left").withColumn("latency_seconds", F.lit(None).cast("double")).withColumn("logprobs", F.lit(None).cast("array<double>"))
 
     return answer

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def test_dataset_artifact(spark, tmp_path):
     assert artifacts.content_digest(q.repartition(3)) == meta["content_digest"]
     assert artifacts.content_digest(q.repartition(3)) == meta["content_digest"]
     assert artifacts.content_digest(q.withColumn("ordinal", 9 - F.col("ordinal"))) != meta["content_digest"]
-    path = artifacts.dataset_path(str(tmp_path), spec) / "metadata.json"
+    path = Path(artifacts.dataset_path(str(tmp_path), spec), "metadata.json")
     path.write_text(path.read_text().replace('"rows": 10', '"rows": 11'))
     with pytest.raises(artifacts.ArtifactError, match="metadata"):
         artifacts.read_dataset(spark, str(tmp_path), spec, q.schema)
@@ -182,8 +183,6 @@ class FakeBatches:
         return self.state if self.polls > 2 else "running"
 
     def fetch(self, job):
-        from pathlib import Path
-
         ids = [json.loads(line)["custom_id"] for p in Path(self.requests).glob("*.json") for line in p.read_text().splitlines()]
         out = Path(self.folder, "replies.json")
         out.write_text("".join(json.dumps({"custom_id": i, "raw_text": "Answer: B"}) + "\n" for i in sorted(ids)[:-1]))
@@ -248,8 +247,6 @@ def test_assembled_rows_report_and_snapshot(spark, tmp_path):
 
 
 def test_scratch_is_written_and_released(spark):
-    from pathlib import Path
-
     from plumbline.sources.scratch import Scratch
 
     scratch = Scratch(spark)
