@@ -91,7 +91,7 @@ def mmlu_pro(df: DataFrame, **kw) -> DataFrame:
     before = F.size(F.filter(F.slice("options", F.lit(1), F.greatest(F.col("answer_index"), F.lit(0))), lambda x: x.isNotNull()))
     gold = F.get("options", F.col("answer_index"))
     outside = (F.col("answer_index") < 0) | (F.col("answer_index") >= F.size("options"))
-    return build(df, F.col("category"), F.col("question"), kept, F.when(outside, F.lit(-1)).otherwise(before), F.when(~outside & gold.isNull(), "gold option is null"), **kw)
+    return build(df, F.col("category"), F.col("question"), kept, F.when(outside, F.lit(-1)).when(F.col("answer_index").isNotNull(), before), F.when(~outside & gold.isNull(), "gold option is null"), **kw)
 
 
 @benchmark("Rowan/hellaswag")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import metric_queries, question_queries
+from plumbline.plans import lifecycle_queries, metric_queries, question_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = [metric_queries, question_queries]
+_MODULES = [metric_queries, question_queries, lifecycle_queries]
 
 
 def queries() -> dict[str, Query]:
