@@ -1,13 +1,14 @@
 """The offline debiasing grid: join direct and cyclic records, calibrate for every (alpha, seed), answer, measure.
 
-The grid is rows, not a loop: records are joined with the calibration cells and all cells are evaluated by the
-same grouped aggregations. Records are prepared once (Eq. 1 and Eq. 7 vectors) and reused by every cell.
+The grid is rows, not a loop: each record meets every calibration cell and all cells are evaluated by the same
+grouped aggregations. Records are prepared once (Eq. 1 and Eq. 7 vectors) and reused by every cell.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import vectors as V
 from plumbline.operators import metrics as M
@@ -50,52 +51,65 @@ def exact_cells(ids: list[str], alphas: list[float], seeds: list[int]) -> list[t
     return [(a, s, q) for a in alphas for s in seeds for q in alpha_ids(ids, a, s)]
 
 
-def hashed_cells(ids: DataFrame, alphas: list[float], seeds: list[int], buckets: int = 65_536) -> DataFrame:
-    """Calibration rows (alpha, seed, question_id): the floor(alpha * N) smallest hash ranks of each seed.
+def ranked(recs: DataFrame, seeds: list[int]) -> DataFrame:
+    """``recs`` plus ranks: the hash rank of the question under each seed, in their order."""
+    return recs.withColumn("ranks", F.array(*[hash_rank(F.col("question_id"), s) for s in seeds]))
 
-    Ranks are compared with a cut-off from a histogram of their first digits, so ids are never sorted in one task.
+
+def rank_cutoffs(ranks: DataFrame, alphas: list[float], seeds: list[int], buckets: int = 65_536) -> list[tuple[float, int, str]]:
+    """(alpha, seed, largest rank) of the calibration questions: the floor(alpha * N) smallest ranks of each seed.
+
+    ``ranks`` is (ranks array in the order of ``seeds``). Histograms of the ranks' first digits give the bucket that holds
+    each cut-off; only the ranks of those buckets are ordered. What reaches the driver is one row for each cell.
     """
     if len(set(alphas)) != len(alphas) or len(set(seeds)) != len(seeds):
         raise ValueError("alphas and seeds must not repeat")
-    spark = ids.sparkSession
-    ranked = ids.select("question_id", F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), hash_rank(F.col("question_id"), s).alias("rank")) for s in seeds])).alias("r")).select("question_id", "r.seed", "r.rank")
-    ranked = ranked.withColumn("bucket", F.conv(F.substring("rank", 1, 4), 16, 10).cast("int"))
-    histogram: dict[int, list[tuple[int, int]]] = {}
-    for r in ranked.groupBy("seed", "bucket").count().collect():
-        histogram.setdefault(r["seed"], []).append((r["bucket"], r["count"]))
-    cuts = []
-    for seed in seeds:
-        counts = sorted(histogram.get(seed, []))
-        total = sum(c for _, c in counts)
-        for alpha in alphas:
-            left = int(alpha * total)
-            if not left:
-                raise ValueError("alpha gives no calibration question")
-            for bucket, c in counts:
-                cut = bucket
-                if c >= left:
-                    break
-                left -= c
-            cuts.append((alpha, seed, cut, left))
-    limits = spark.createDataFrame(cuts, "alpha double, seed int, cut int, wanted int")
-    near = ranked.join(F.broadcast(limits), "seed").where(F.col("bucket") <= F.col("cut"))
-    from pyspark.sql.window import Window
-
-    edge = near.where(F.col("bucket") == F.col("cut")).withColumn("__n", F.row_number().over(Window.partitionBy("alpha", "seed").orderBy("rank"))).where(F.col("__n") <= F.col("wanted"))
-    return near.where(F.col("bucket") < F.col("cut")).select("alpha", "seed", "question_id").unionByName(edge.select("alpha", "seed", "question_id"))
-
-
-def answers(recs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(alpha, seed, question_id, correct_option, parsed_choice): calibration questions by Eq. 1, all others by Eq. 8."""
-    calibration = cells.join(recs.select("question_id", "n", "prior"), "question_id")
-    each = calibration.select("alpha", "seed", "n", F.posexplode("prior").alias("j", "p")).groupBy("alpha", "seed", "n", "j").agg(F.avg("p").alias("p"))
+    spark = ranks.sparkSession
+    each = ranks.select(F.posexplode("ranks").alias("s", "rank")).withColumn("bucket", F.floor(F.conv(F.substring("rank", 1, 4), 16, 10).cast("double") * (buckets / 65_536)).cast("int"))
+    counts = each.groupBy("s", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    by_seed = Window.partitionBy("s")
+    upto = counts.select("s", "bucket", "n", F.sum("n").over(by_seed.orderBy("bucket")).alias("upto"), F.sum("n").over(by_seed).alias("total"))
+    wanted = spark.createDataFrame([(i, float(a)) for i, a in enumerate(alphas)], "a int, alpha double")
+    cells = upto.crossJoin(F.broadcast(wanted)).withColumn("goal", F.floor(F.col("alpha") * F.col("total")))
+    holding = cells.where((F.col("upto") >= F.col("goal")) & (F.col("upto") - F.col("n") < F.col("goal"))).select("s", "a", "bucket", (F.col("goal") - F.col("upto") + F.col("n")).alias("place"))
+    near = each.join(F.broadcast(holding), ["s", "bucket"])
+    placed = near.withColumn("at", F.row_number().over(Window.partitionBy("s", "a").orderBy("rank"))).where(F.col("at") == F.col("place"))
+    found = [(alphas[r["a"]], seeds[r["s"]], r["rank"]) for r in placed.select("a", "s", "rank").collect()]
+    if len(found) != len(alphas) * len(seeds):
+        raise ValueError("alpha gives no calibration question")
+    return sorted(found)
+
+
+def _in_cells(recs: DataFrame, cutoffs: list[tuple[float, int, str]], seeds: list[int]) -> DataFrame:
+    """One row for each record and cell: alpha, seed, calibrated."""
+    cells = [F.struct(F.lit(float(a)).alias("alpha"), F.lit(s).alias("seed"), (F.get("ranks", F.lit(seeds.index(s))) <= F.lit(cut)).alias("calibrated")) for a, s, cut in cutoffs]
+    return recs.select("*", F.explode(F.array(*cells)).alias("cell")).select("*", "cell.*").drop("cell", "ranks")
+
+
+def _answered(rows: DataFrame) -> DataFrame:
+    """(alpha, seed, question_id, correct_option, parsed_choice) of records in cells: calibration questions by Eq. 1, all others by Eq. 8."""
+    each = rows.where("calibrated").select("alpha", "seed", "n", F.posexplode("prior").alias("j", "p")).groupBy("alpha", "seed", "n", "j").agg(F.avg("p").alias("p"))
     ordered = each.groupBy("alpha", "seed", "n").agg(F.array_sort(F.collect_list(F.struct("j", "p"))).alias("v"))
     # One short vector for each cell and option count.
     prior = ordered.select("alpha", "seed", "n", V.normalised(V.clipped(F.transform("v", lambda x: x["p"]))).alias("global_prior"))
-    every = recs.join(F.broadcast(prior), "n")
-    joined = every.join(cells.withColumn("calibrated", F.lit(True)), ["alpha", "seed", "question_id"], "left")
+    every = rows.join(F.broadcast(prior), ["alpha", "seed", "n"])
     chosen = F.when(F.col("calibrated"), V.first_max(F.col("content"))).otherwise(V.first_max(V.debiased(F.col("observed"), F.col("global_prior"))))
-    return joined.select("alpha", "seed", "question_id", "correct_option", F.get("labels", chosen).alias("parsed_choice"))
+    return every.select("alpha", "seed", "question_id", "correct_option", F.get("labels", chosen).alias("parsed_choice"))
+
+
+def answers(recs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Answers in all cells, whose calibration questions are listed: ``cells`` is (alpha, seed, question_id)."""
+    every = recs.crossJoin(F.broadcast(cells.select("alpha", "seed").distinct()))
+    return _answered(every.join(cells.withColumn("calibrated", F.lit(True)), ["alpha", "seed", "question_id"], "left").withColumn("calibrated", F.coalesce("calibrated", F.lit(False))))
+
+
+def hashed_answers(recs: DataFrame, alphas: list[float], seeds: list[int]) -> DataFrame:
+    """The same with the floor(alpha * N) questions of the smallest hash ranks of each seed as calibration.
+
+    ``recs`` holds ``ranks`` (see :func:`ranked`) and is read several times, so give a written table. A question's part
+    in a cell is told by its rank and the cell's cut-off, so no records are shuffled.
+    """
+    return _answered(_in_cells(recs, rank_cutoffs(recs.select("ranks"), alphas, seeds), seeds))
 
 
 def baselines(recs: DataFrame) -> DataFrame:

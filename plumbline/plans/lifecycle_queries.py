@@ -319,7 +319,7 @@ SELECT question_id, CASE WHEN ordinal % 3 = 0 THEN 'two_stage' ELSE 'direct_mcq'
 h AS (SELECT *, [x FOR x IN os IF x = g] AS e, [x FOR x IN os IF length(x) >= 4 AND (contains(g, x) OR (contains(x, g) AND length(g) >= 4))] AS c FROM t)
 SELECT question_id, CASE WHEN coalesce(g, '') = '' THEN NULL WHEN len(e) > 0 THEN e[1] WHEN len(c) = 1 THEN c[1] END AS matched_text, 'two_stage' AS derived_from_method_name FROM h""",
         "hypothesis_prompts": f"{one}, e AS (SELECT question_id, question_text, unnest(opts) AS z FROM a) SELECT question_id, z.label AS label, 'Question: ' || coalesce(question_text, '') || chr(10) || 'Proposed answer: ' || z.text || chr(10) || chr(10) || 'Is it right?' AS prompt FROM e",
-        "semantic_groups": f"WITH {Q._Q} SELECT min(ordinal) AS first_ordinal, count(*) AS n FROM q GROUP BY lower({Q._SQ.format('question_text')}), list_sort([lower({Q._SQ.format('x')}) FOR x IN texts])",
+        "semantic_groups": f"WITH {Q._Q} SELECT min(ordinal) AS first_ordinal, count(*) AS n FROM q GROUP BY lower({Q._SQ.format("replace(question_text, '…', '...')")}), list_sort([lower({Q._SQ.format("replace(x, '…', '...')")}) FOR x IN texts])",
         "debiased_choices": f"WITH {M._LOGITS} SELECT question_id, {M._ARG.format(v='[obs[j] / ([0.4, 0.3, 0.2, 0.1])[j] FOR j IN [1,2,3,4]]')} AS choice FROM g",
         "pride_logits": f"""WITH {M._LOGITS}, c AS (SELECT prior FROM g ORDER BY sha256('42|' || question_id) LIMIT 100), pr AS (SELECT [avg(prior[1]), avg(prior[2]), avg(prior[3]), avg(prior[4])] AS gp FROM c),
 t AS (SELECT question_id, gi, {M._ARG.format(v="[obs[j] / gp[j] FOR j IN [1,2,3,4]]")} AS choice FROM g, pr)

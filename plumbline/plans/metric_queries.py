@@ -12,7 +12,8 @@ from plumbline.sources.scratch import Scratch
 from plumbline.sources.tables import table
 
 BY = ["method_name", "model_name"]
-ALPHAS, SEEDS = [0.05, 0.2, 0.4, 0.8], [0, 1, 2]
+#: The published grid.
+ALPHAS, SEEDS = [0.05, 0.4, 0.8], [0, 1, 2, 3, 4]
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -24,7 +25,7 @@ def accuracy_by_condition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def accuracy_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.accuracy_intervals(lenses.results(spark, folder), BY)
+    return _rounded(metrics.accuracy_intervals(lenses.results(spark, folder), BY), "accuracy", "accuracy_conditional", "ci_low", "ci_high", "conditional_ci_low", "conditional_ci_high")
 
 
 def mad_by_condition(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +88,11 @@ def majority_vote(spark: SparkSession, folder: str) -> DataFrame:
     return voting.majority(table(spark, folder, "agreement_input"), ["question_id", "condition_id"], "parsed_choice", F.col("condition_id"), F.col("question_id"), 42, "majority")
 
 
+def majority_clear(spark: SparkSession, folder: str) -> DataFrame:
+    """Winners of the votes without a tie, and for the others how many letters share the lead."""
+    return majority_vote(spark, folder).select("question_id", "condition_id", "votes", "n_tied", F.when(F.col("n_tied") == 1, F.col("winner")).alias("winner"))
+
+
 def paired_flips(spark: SparkSession, folder: str) -> DataFrame:
     rows = lenses.logits(spark, folder)
     answers = rows.select("question_id", "correct_option", F.char(V.first_max(F.col("observed")) + 65).alias("a"), F.char(V.first_max(V.content_probabilities(F.col("matrix"))) + 65).alias("b"))
@@ -124,7 +130,7 @@ def logprob_choices(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paired_token_forms(spark: SparkSession, folder: str) -> DataFrame:
-    wide = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("question_id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+    wide = table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("question_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return _vector(wide, V.paired_forms(F.col("v")))
 
 
@@ -138,20 +144,18 @@ def grid_records(spark: SparkSession, folder: str) -> DataFrame:
     rows = lenses.logits(spark, folder)
     side = lambda m: rows.select("question_id", "correct_option", F.lit("success").alias("answer_status"), m.alias("option_distributions"))
     # Prepared once: every cell of the grid reads the written vectors.
-    return Scratch(spark).keep(grid.records(side(F.array("observed")), side(F.col("matrix"))), "records")
+    return Scratch(spark).keep(grid.ranked(grid.records(side(F.array("observed")), side(F.col("matrix"))), SEEDS), "records")
 
 
 def debias_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: every (alpha, seed) cell of the offline debiasing grid with its metrics."""
     recs = grid_records(spark, folder)
-    cells = grid.hashed_cells(recs.select("question_id"), ALPHAS, SEEDS)
-    return _rounded(grid.cell_metrics(grid.answers(recs, cells), ["alpha", "seed"]), "accuracy", "rstd", "mad", digits=5)
+    return _rounded(grid.cell_metrics(grid.hashed_answers(recs, ALPHAS, SEEDS), ["alpha", "seed"]), "accuracy", "rstd", "mad", digits=5)
 
 
 def debias_by_alpha(spark: SparkSession, folder: str) -> DataFrame:
     recs = grid_records(spark, folder)
-    cells = grid.hashed_cells(recs.select("question_id"), ALPHAS, SEEDS)
-    measured = grid.cell_metrics(grid.answers(recs, cells), ["alpha", "seed"])
+    measured = grid.cell_metrics(grid.hashed_answers(recs, ALPHAS, SEEDS), ["alpha", "seed"])
     return _rounded(grid.by_alpha(measured), *[f"{m}_{s}" for m in ("accuracy", "rstd", "mad") for s in ("mean", "std")], digits=5)
 
 
@@ -204,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accuracy_by_condition, accuracy_ci, mad_by_condition, mad_bootstrap, recall_by_letter, recall_rstd, order_sensitivity_letters, order_sensitivity_matrix, agreement_rate, agreement_overall, transport_health,
-        status_report, evaluation_report, vote_counts, vote_leaders, majority_vote, paired_flips, eq1_content, eq7_prior, eq8_debiased, global_prior, logprob_choices, paired_token_forms, cosine_neighbours, debias_grid,
+        status_report, evaluation_report, vote_counts, vote_leaders, majority_vote, majority_clear, paired_flips, eq1_content, eq7_prior, eq8_debiased, global_prior, logprob_choices, paired_token_forms, cosine_neighbours, debias_grid,
         debias_by_alpha, debias_baselines,
     )
 }
@@ -215,7 +219,22 @@ _AGREE_OUT = "count(*) AS n_groups, count(*) FILTER (same) AS n_unanimous, count
 _HEALTH = "count(*) AS n_total, count(*) FILTER (status = 'failure') AS n_failed"
 _VOTES = "v AS (SELECT question_id, condition_id, parsed_choice, count(*) AS votes FROM agreement_input WHERE parsed_choice IS NOT NULL GROUP BY ALL)"
 
+def _interval(k: str, n: str, lower: bool) -> str:
+    """Binomial tail at the middle of (lo, hi), and whether the bound lies above it."""
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln((lo + hi) / 2) + ({n} - i) * ln(1 - (lo + hi) / 2))"
+    tail = f"list_sum([{term} FOR i IN range({k}, {n} + 1)])" if lower else f"list_sum([{term} FOR i IN range(0, {k} + 1)])"
+    return f"{tail} < 0.025" if lower else f"{tail} > 0.025"
+
+
+_CI = f"""bounds(method_name, model_name, kind, k, n, lo, hi, step) AS (
+  SELECT method_name, model_name, kind, n_correct, CASE WHEN kind < 2 THEN n_total ELSE n_scored END, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM acc, (SELECT unnest([0, 1, 2, 3]) AS kind)
+  UNION ALL SELECT method_name, model_name, kind, k, n, CASE WHEN up THEN (lo + hi) / 2 ELSE lo END, CASE WHEN up THEN hi ELSE (lo + hi) / 2 END, step + 1
+  FROM (SELECT *, CASE WHEN kind % 2 = 0 THEN {_interval("k", "n", True)} ELSE {_interval("k", "n", False)} END AS up FROM bounds WHERE step < 34)),
+ci AS (SELECT method_name, model_name, kind, CASE WHEN n = 0 THEN NULL WHEN kind % 2 = 0 AND k = 0 THEN 0 WHEN kind % 2 = 1 AND k = n THEN 1 ELSE (lo + hi) / 2 END AS b FROM bounds WHERE step = 34)"""
+_BOUND = "(SELECT round(b, 6) FROM ci WHERE ci.method_name = acc.method_name AND ci.model_name = acc.model_name AND kind = {0})"
+
 ORACLE_SQL = {
+    "accuracy_ci": f"WITH RECURSIVE {_RESULTS}, {_ACC}, {_CI} SELECT *, {_BOUND.format(0)} AS ci_low, {_BOUND.format(1)} AS ci_high, {_BOUND.format(2)} AS conditional_ci_low, {_BOUND.format(3)} AS conditional_ci_high FROM acc",
     "accuracy_by_condition": f"WITH {_RESULTS}, {_ACC} SELECT * FROM acc",
     "mad_by_condition": f"WITH {_RESULTS}, {_MAD} SELECT method_name, model_name, round(mad, 6) AS mad FROM mad",
     "recall_by_letter": f"WITH {_RESULTS}, {_RECALL} SELECT method_name, model_name, letter, n, round(recall, 6) AS recall FROM rec",
@@ -234,6 +253,8 @@ SELECT CAST(0 AS BIGINT) AS n_pending, count(*) FILTER (s = 'completed') AS n_co
     "vote_counts": f"WITH {_VOTES} SELECT * FROM v",
     "vote_leaders": f"""WITH {_VOTES}, w AS (SELECT *, max(votes) OVER (PARTITION BY question_id, condition_id) AS top FROM v)
 SELECT question_id, condition_id, top AS votes, string_agg(parsed_choice, ',' ORDER BY parsed_choice) AS tied FROM w WHERE votes = top GROUP BY ALL""",
+    "majority_clear": f"""WITH {_VOTES}, w AS (SELECT *, max(votes) OVER (PARTITION BY question_id, condition_id) AS top FROM v)
+SELECT question_id, condition_id, top AS votes, CAST(count(*) AS INT) AS n_tied, CASE WHEN count(*) = 1 THEN max(parsed_choice) END AS winner FROM w WHERE votes = top GROUP BY ALL""",
     "paired_flips": f"""WITH {_LOGITS}, a AS (SELECT {_ARG.format(v="obs")} AS a, {_ARG.format(v="content")} AS b, chr(CAST(65 + gi AS INT)) AS gold FROM g)
 SELECT count(*) AS n_pairs, count(*) FILTER (a <> b) AS flips, count(*) FILTER (a = gold AND b <> gold) AS right_to_wrong, count(*) FILTER (a <> gold AND b = gold) AS wrong_to_right, count(*) FILTER (a <> b AND a <> gold AND b <> gold) AS both_wrong_different FROM a""",
     "eq1_content": f"WITH {_LOGITS} {_UNNEST.format(v='content')}",
@@ -241,8 +262,8 @@ SELECT count(*) AS n_pairs, count(*) FILTER (a <> b) AS flips, count(*) FILTER (
     "eq8_debiased": f"WITH {_LOGITS} {_UNNEST.format(v='[y / list_sum(ratio) FOR y IN ratio]')}",
     "global_prior": f"WITH {_LOGITS} SELECT chr(CAST(65 + i AS INT)) AS letter, round(avg(prior[i + 1]), 6) AS p FROM g, unnest([0,1,2,3]) AS t(i) GROUP BY i",
     "logprob_choices": f"WITH {_LOGITS} SELECT question_id, {_ARG.format(v='obs')} AS direct, {_ARG.format(v='content')} AS cyclic, list_sort(obs)[4] = list_sort(obs)[3] AS top_two_tie FROM g",
-    "paired_token_forms": """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS question_id, [exp(CAST(x AS DOUBLE)) FOR x IN embedding[1:8]] AS v FROM embeddings)
-SELECT question_id, CAST(i AS INT) AS position, round((v[i + 1] + v[i + 5]) / list_sum(v), 6) AS p FROM e, unnest([0,1,2,3]) AS t(i)""",
+    "paired_token_forms": """WITH e AS (SELECT CAST(vec_id AS VARCHAR) AS question_id, [exp(CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings)
+SELECT question_id, CAST(i AS INT) AS position, round((v[i + 1] + v[i + 1 + len(v) // 2]) / list_sum(v), 6) AS p FROM (SELECT *, unnest(range(0, len(v) // 2)) AS i FROM e)""",
     "cosine_neighbours": """WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings)
 SELECT a.vec_id, round(list_cosine_similarity(a.v, b.v), 4) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1""",
     "debias_grid": f"WITH {_LOGITS}, {_CELLS}, {_cell_sql('ans', 'alpha, seed')} SELECT alpha, seed, n_questions, round(accuracy, 5) AS accuracy, round(rstd, 5) AS rstd, round(mad, 5) AS mad FROM cm",

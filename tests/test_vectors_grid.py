@@ -112,10 +112,25 @@ def test_grid_errors(spark):
         grid.one_option_count(mixed)
 
 
-def test_hashed_cells_have_the_right_size(spark):
+def test_cutoffs_have_the_right_size(spark):
     ids = spark.range(500).select(F.col("id").cast("string").alias("question_id"))
-    got = grid.hashed_cells(ids, [0.1, 0.5], [0, 1], buckets=64).groupBy("alpha", "seed").count().collect()
-    assert {(r.alpha, r["count"]) for r in got} == {(0.1, 50), (0.5, 250)} and len(got) == 4
+    recs = grid.ranked(ids, [0, 1]).cache()
+    cutoffs = grid.rank_cutoffs(recs.select("ranks"), [0.1, 0.5], [0, 1], buckets=64)
+    assert cutoffs == grid.rank_cutoffs(recs.repartition(5).select("ranks"), [0.1, 0.5], [0, 1])
+    got = {(a, s): recs.where(F.get("ranks", F.lit(s)) <= cut).count() for a, s, cut in cutoffs}
+    assert got == {(0.1, 0): 50, (0.1, 1): 50, (0.5, 0): 250, (0.5, 1): 250}
+    for bad in ([0.1, 0.1], [0.0001]):
+        with pytest.raises(ValueError):
+            grid.rank_cutoffs(recs.select("ranks"), bad, [0, 1])
+
+
+def test_hashed_answers_equal_listed_ones(spark):
+    direct, cyclic = inputs(spark)
+    recs = grid.ranked(grid.records(direct, cyclic), [0, 7]).cache()
+    listed = [(a, s, r.question_id) for a, s, cut in grid.rank_cutoffs(recs.select("ranks"), [0.4, 0.6], [0, 7]) for r in recs.collect() if r.ranks[[0, 7].index(s)] <= cut]
+    there = grid.answers(recs.drop("ranks"), spark.createDataFrame(listed, "alpha double, seed int, question_id string"))
+    here = grid.hashed_answers(recs, [0.4, 0.6], [0, 7])
+    assert sorted(here.collect()) == sorted(there.select(*here.columns).collect()) and here.count() == 20
 
 
 def test_comparison(spark):
