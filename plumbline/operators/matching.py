@@ -38,8 +38,8 @@ def cosine_hits(vector: Column, options: Column, vectors: Column) -> Column:
 
 
 def matched(df: DataFrame, text: str, options: str, vector: str | None = None, vectors: str | None = None) -> DataFrame:
-    """``df`` plus stage (exact, contained, cosine or null) and tied (labels); blank and null texts match nothing."""
-    t, o = F.col(text), F.col(options)
+    """``df`` plus stage (exact, contained, cosine or null) and tied (labels); blank and null texts and null options match nothing."""
+    t, o = F.col(text), F.coalesce(F.col(options), F.array().cast(df.schema[options].dataType))
     none = F.array().cast("array<string>")
     usable = F.coalesce(ws_case_key(t), F.lit("")) != ""
     exact, contained = exact_hits(t, o), contained_hits(t, o)

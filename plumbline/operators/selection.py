@@ -23,13 +23,25 @@ def subject_filter(df: DataFrame, subjects: list[str]) -> DataFrame:
     return out
 
 
+def missing_ids(df: DataFrame, ids: DataFrame, key: str = "question_id") -> DataFrame:
+    """(key) of listed ids that the dataset lacks, each once; a null id is never found."""
+    return ids.select(key).distinct().join(df.select(key), key, "left_anti")
+
+
 def id_list(df: DataFrame, ids: DataFrame, key: str = "question_id") -> DataFrame:
     """Rows whose id is listed, in dataset order of ``ordinal``; a listed id that is missing is an error."""
-    if not ids.join(df.select(key), key, "left_anti").isEmpty():
+    if not missing_ids(df, ids, key).isEmpty():
         raise ValueError("listed ids are missing from the dataset")
     return df.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def require_disjoint(calibration: DataFrame, evaluation: DataFrame, key: str) -> DataFrame:
+    """``calibration``, if none of its rows has a key of ``evaluation``; else an error with the number of rows that leak."""
+    if n := overlap(calibration, evaluation, key).count():
+        raise ValueError(f"{n} calibration rows are among the evaluation questions")
+    return calibration
+
+
 def hash_rank(key: Column, seed: int) -> Column:
     """A sampling order that any engine reproduces: SHA-256 of seed and key."""
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)

@@ -197,18 +197,33 @@ def debiased_choices(spark: SparkSession, folder: str) -> DataFrame:
     return lenses.logits(spark, folder).select("question_id", vectors.debiased_choice(F.col("scores"), prior, labels).alias("choice"))
 
 
-def pride_logits(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole method over recorded score vectors: rotations of 100 calibration questions, then one answer for each question."""
+def _scored(spark: SparkSession, folder: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Questions of four options and a responder that replays their score vectors, those of rotations by their number."""
     rows = lenses.logits(spark, folder)
     blank = F.array(*[F.struct(F.lit(f"option {i}").alias("text"), F.lit(i).alias("source_index")) for i in range(4)])
     questions = rows.select(F.col("question_id").cast("long").alias("ordinal"), "question_id", F.lit("s").alias("subject"), F.lit("q").alias("question_text"), blank.alias("choices"), "correct_index", "correct_option", F.lit(4).alias("n_choices"))
     scores = rows.select("question_id", "matrix", "scores")
 
     def respond(df: DataFrame) -> DataFrame:
-        joined = df.join(scores, "question_id")
         vector = F.transform(F.get("matrix", F.col("rotation")), lambda p: F.log(p)) if "rotation" in df.columns else F.col("scores")
-        return joined.withColumns({"status": F.lit("success"), "raw_text": F.lit(None).cast("string"), "finish_reason": F.lit("stop"), "latency_seconds": F.lit(0.0), "logprobs": vector}).drop("matrix", "scores")
+        return df.join(scores, "question_id").withColumns({"status": F.lit("success"), "raw_text": F.lit(None).cast("string"), "finish_reason": F.lit("stop"), "latency_seconds": F.lit(0.0), "logprobs": vector}).drop("matrix", "scores")
+
+    return questions, respond
+
+
+def direct_logprob_scores(spark: SparkSession, folder: str) -> DataFrame:
+    questions, respond = _scored(spark, folder)
+    return methods.run_method("direct_logprob", questions, respond).select("question_id", "parsed_choice", "is_correct")
 
+
+def cyclic_logprob_scores(spark: SparkSession, folder: str) -> DataFrame:
+    questions, respond = _scored(spark, folder)
+    return methods.run_method("cyclic_logprob", questions, respond).select("question_id", "parsed_choice", "is_correct", "n_permutations_total")
+
+
+def pride_logits(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole method over recorded score vectors: rotations of 100 calibration questions, then one answer for each question."""
+    questions, respond = _scored(spark, folder)
     out = methods.run_method("pride", questions, respond, calibration=selection.hash_sample(questions, 100, 42, key="question_id"))
     return out.select("question_id", "adjusted_choice", "is_correct", F.col("gate_n_evaluated").alias("n_evaluated"))
 
@@ -278,7 +293,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         direct_client, shuffled_client, cyclic_client, two_stage_client, stage_two_client, cached_client, resumed_client, batch_replies, normalize_mmlu, normalize_arc, normalize_pro, normalize_hellaswag, normalize_truthful,
-        reparsed_answers, derived_answers, hypothesis_prompts, semantic_groups, debiased_choices, pride_logits, parsed_matrices, grid_excluded, grid_comparison, cosine_best, dataset_roundtrip, evaluation_run,
+        reparsed_answers, derived_answers, hypothesis_prompts, semantic_groups, debiased_choices, direct_logprob_scores, cyclic_logprob_scores, pride_logits, parsed_matrices, grid_excluded, grid_comparison, cosine_best, dataset_roundtrip, evaluation_run,
     )
 }
 
@@ -321,6 +336,8 @@ SELECT question_id, CASE WHEN coalesce(g, '') = '' THEN NULL WHEN len(e) > 0 THE
         "hypothesis_prompts": f"{one}, e AS (SELECT question_id, question_text, unnest(opts) AS z FROM a) SELECT question_id, z.label AS label, 'Question: ' || coalesce(question_text, '') || chr(10) || 'Proposed answer: ' || z.text || chr(10) || chr(10) || 'Is it right?' AS prompt FROM e",
         "semantic_groups": f"WITH {Q._Q} SELECT min(ordinal) AS first_ordinal, count(*) AS n FROM q GROUP BY lower({Q._SQ.format("replace(question_text, '…', '...')")}), list_sort([lower({Q._SQ.format("replace(x, '…', '...')")}) FOR x IN texts])",
         "debiased_choices": f"WITH {M._LOGITS} SELECT question_id, {M._ARG.format(v='[obs[j] / ([0.4, 0.3, 0.2, 0.1])[j] FOR j IN [1,2,3,4]]')} AS choice FROM g",
+        "direct_logprob_scores": f"WITH {M._LOGITS}, t AS (SELECT question_id, gi, {M._ARG.format(v='obs')} AS c FROM g) SELECT question_id, c AS parsed_choice, c = chr(CAST(65 + gi AS INT)) AS is_correct FROM t",
+        "cyclic_logprob_scores": f"WITH {M._LOGITS}, t AS (SELECT question_id, gi, {M._ARG.format(v='content')} AS c FROM g) SELECT question_id, c AS parsed_choice, c = chr(CAST(65 + gi AS INT)) AS is_correct, 4 AS n_permutations_total FROM t",
         "pride_logits": f"""WITH {M._LOGITS}, c AS (SELECT prior FROM g ORDER BY sha256('42|' || question_id) LIMIT 100), pr AS (SELECT [avg(prior[1]), avg(prior[2]), avg(prior[3]), avg(prior[4])] AS gp FROM c),
 t AS (SELECT question_id, gi, {M._ARG.format(v="[obs[j] / gp[j] FOR j IN [1,2,3,4]]")} AS choice FROM g, pr)
 SELECT question_id, choice AS adjusted_choice, choice = chr(CAST(65 + gi AS INT)) AS is_correct, count(*) OVER () AS n_evaluated FROM t""",

@@ -106,16 +106,22 @@ def id_list_selection(spark: SparkSession, folder: str) -> DataFrame:
     return selection.id_list(known, listed.join(known, "question_id", "left_semi"))
 
 
+def id_list_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions of the responses that the dataset lacks: what makes their list an error."""
+    listed = table(spark, folder, "model_responses").select("question_id").where(F.col("question_id").isNotNull())
+    return selection.missing_ids(table(spark, folder, "toy_normalized"), listed)
+
+
 def calibration_disjoint(spark: SparkSession, folder: str) -> DataFrame:
     pool = table(spark, folder, "toy_normalized").select("ordinal", "question_id")
     return selection.remaining(pool, table(spark, folder, "agreement_input"))
 
 
 def leakage_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of toy_normalized whose stem is that of a held-out question."""
     key = text.ws_case_key(F.col("question_text")).alias("key")
     calibration = lenses.questions(spark, folder).select("ordinal", "subject", key)
-    evaluation = lenses.questions(spark, folder).where(F.col("subject") == "toy").select(key)
-    return selection.overlap(calibration, evaluation, "key").select("ordinal", "subject")
+    return selection.overlap(calibration, lenses.eval_questions(spark, folder).select(key), "key").select("ordinal", "subject")
 
 
 def leakage_semantic(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,7 +167,7 @@ def single_letter_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_match(spark: SparkSession, folder: str) -> DataFrame:
-    staged = matching.matched(lenses.replies(spark, folder).where(F.col("options").isNotNull()), "raw_text", "options")
+    staged = matching.matched(lenses.replies(spark, folder), "raw_text", "options")
     return staged.select("response_id", "stage", F.array_join("tied", ",").alias("tied"))
 
 
@@ -241,7 +247,7 @@ def result_identity_problems(spark: SparkSession, folder: str) -> DataFrame:
 def result_membership(spark: SparkSession, folder: str) -> DataFrame:
     have = table(spark, folder, "agreement_input").select("condition_id", "question_id")
     conditions = have.select("condition_id").distinct()
-    expected = F.broadcast(conditions).crossJoin(table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("question_id")))
+    expected = conditions.crossJoin(table(spark, folder, "eval_items").select(F.col("item_id").cast("string").alias("question_id")))
     problems = membership_problems(have, expected)
     return problems.groupBy("condition_id", "problem").agg(F.count(F.lit(1)).alias("n"))
 
@@ -272,7 +278,6 @@ def exact_stem_regrade(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Structured Streaming over the response table: failures by provider, equal to the batch result."""
     import os
-    import uuid
 
     t = table(spark, folder, "model_responses")
     path = f"{folder}/model_responses.parquet"
@@ -280,14 +285,14 @@ def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
     stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "model_responses.parquet").parquet(folder)
     counts = stream.groupBy("provider").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("status") == "failure").alias("n_failed"))
     scratch = Scratch(spark)
-    return results_stream.run_once(counts, f"streamed_{uuid.uuid4().hex}", f"{scratch.root}/stream")
+    return results_stream.run_once(counts, "counts", f"{scratch.root}/stream")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_questions, option_maps, gold_letters, validation_report, duplicate_id_rows, null_option_scan, permutation_filter, choice_counts, modal_choice_count, modal_k_gate, dedup_ladder, strict_groups,
-        strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, calibration_disjoint, leakage_overlap, leakage_semantic, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
+        strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, id_list_gaps, calibration_disjoint, leakage_overlap, leakage_semantic, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
         parse_replies, parse_summary, single_letter_replies, text_match, finish_reasons, request_cache_misses, direct_dummy, shuffled_dummy, cyclic_dummy, cyclic_traces, logprob_dummy, cyclic_logprob_dummy, pride_dummy,
         two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, streamed_counts,
     )
@@ -347,13 +352,17 @@ SELECT question_id, ordinal, p AS matched_pattern, t AS offending_option_text FR
     "hash_sample": "SELECT ordinal, question_id FROM toy_normalized ORDER BY sha256('42|' || ordinal) LIMIT 150",
     "id_list_selection": "SELECT ordinal, question_id FROM toy_normalized WHERE question_id IN (SELECT question_id FROM agreement_input)",
     "calibration_disjoint": "SELECT ordinal, question_id FROM toy_normalized t WHERE NOT EXISTS (SELECT 1 FROM agreement_input a WHERE a.question_id = t.question_id)",
-    "leakage_overlap": f"SELECT ordinal, subject FROM toy_normalized WHERE lower({_WS.format('question_text')}) IN (SELECT lower({_WS.format('question_text')}) FROM toy_normalized WHERE subject = 'toy')",
+    "leakage_overlap": f"SELECT ordinal, subject FROM toy_normalized WHERE lower({_WS.format('question_text')}) IN (SELECT lower({_WS.format('question')}) FROM eval_items)",
+    "leakage_semantic": f"""WITH {_Q}, k AS (SELECT DISTINCT lower({_SQ.format("replace(question, '…', '...')")}) AS s, list_sort([lower({_SQ.format("replace(x, '…', '...')")}) FOR x IN choices]) AS o FROM eval_items)
+SELECT ordinal, subject FROM q JOIN k ON s = lower({_SQ.format("replace(question_text, '…', '...')")}) AND o = list_sort([lower({_SQ.format("replace(x, '…', '...')")}) FOR x IN texts])""",
+    "id_list_gaps": "SELECT DISTINCT question_id FROM model_responses WHERE question_id IS NOT NULL AND question_id NOT IN (SELECT question_id FROM toy_normalized WHERE question_id IS NOT NULL)",
     "chunk_numbers": "SELECT ordinal, (row_number() OVER (ORDER BY ordinal) - 1) // 128 AS chunk_number FROM toy_normalized",
     "rotations_fanout": f"WITH {_Q} SELECT ordinal, CAST(k AS INT) AS rotation, array_to_string([texts[(j + k) % len(texts) + 1] FOR j IN range(0, len(texts))], '|') AS shown, array_to_string([(j + k) % len(texts) FOR j IN range(0, len(texts))], ',') AS slots FROM q, unnest(range(0, 30)) AS r(k) WHERE k < len(texts)",
     "render_prompts": f"WITH {_Q}, {_LABELLED} SELECT ordinal, {_PROMPT} || array_to_string([x.label || '. ' || x.text FOR x IN opts], chr(10)) || chr(10) || chr(10) || 'Give the letter of the right option.' AS prompt, {_PROMPT} || 'Answer in one short phrase.' AS free_prompt FROM q JOIN lab USING (ordinal)",
     "single_letter_replies": f"""WITH {_REPLIES}, x AS (SELECT response_id, opts, upper(regexp_extract(raw_text, '^[\\s\\x{{a0}}]*[()\\[\\]{{}}<>".,:;!?''“”‘’]*([A-Za-z])[()\\[\\]{{}}<>".,:;!?''“”‘’]*[\\s\\x{{a0}}]*$', 1)) AS letter FROM rep)
 SELECT response_id, letter FROM x WHERE letter <> '' AND list_contains([o.label FOR o IN opts], letter)""",
-    "text_match": f"""WITH {_REPLIES}, n AS (SELECT response_id, lower({_WS.format('raw_text')}) AS t, [{{'label': o.label, 'x': lower({_WS.format('o.text')})}} FOR o IN opts] AS os FROM rep),
+    "text_match": f"""WITH {_REPLIES}, every AS (SELECT r.response_id, r.raw_text, coalesce(one.opts, []) AS opts FROM model_responses r LEFT JOIN one USING (question_id)),
+n AS (SELECT response_id, lower({_WS.format('raw_text')}) AS t, [{{'label': o.label, 'x': lower({_WS.format('o.text')})}} FOR o IN opts] AS os FROM every),
 h AS (SELECT response_id, coalesce(t, '') <> '' AS usable, [o.label FOR o IN os IF o.x = t] AS e, [o.label FOR o IN os IF length(o.x) >= 4 AND (contains(t, o.x) OR (contains(o.x, t) AND length(t) >= 4))] AS c FROM n)
 SELECT response_id, CASE WHEN usable AND len(e) > 0 THEN 'exact' WHEN usable AND len(c) = 1 THEN 'contained' END AS stage, CASE WHEN usable AND len(e) > 0 THEN array_to_string(e, ',') WHEN usable AND len(c) = 1 THEN array_to_string(c, ',') ELSE '' END AS tied FROM h""",
     "finish_reasons": "SELECT CASE WHEN lower(finish_reason) IN ('length', 'max_tokens') THEN 'length' WHEN lower(finish_reason) = 'limit' THEN 'incomplete' WHEN lower(finish_reason) IN ('stop', 'eos', 'end_turn') THEN 'stop' ELSE finish_reason END AS reason, count(*) AS n FROM model_responses GROUP BY ALL",

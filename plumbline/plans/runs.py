@@ -173,7 +173,7 @@ def condition_rows(config: Experiment) -> list[dict[str, str]]:
 
 def condition_grid(benchmarks: DataFrame, methods: DataFrame, models: DataFrame) -> DataFrame:
     """The same product over small tables (benchmark_name), (method_name), (provider, model_name)."""
-    grid = F.broadcast(benchmarks.distinct()).crossJoin(F.broadcast(methods.distinct())).crossJoin(models.distinct())
+    grid = benchmarks.distinct().crossJoin(methods.distinct()).crossJoin(models.distinct())
     key = F.concat_ws("|", "benchmark_name", "method_name", "provider", "model_name")
     return grid.withColumn("condition_id", F.substring(F.sha2(key, 256), 1, 16))
 

@@ -6,10 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OPEN: dict[str, Scratch] = {}
+
+
+@atexit.register
+def release_all() -> None:
+    """Delete what is still there of all scratch tables of this process; also done when it ends."""
+    for scratch in list(_OPEN.values()):
+        with suppress(Exception):
+            scratch.release()
+
+
 class Scratch:
     """Tables written once and read back, in the shared folder of ``spark.checkpoint.dir``.
 
@@ -27,6 +39,7 @@ class Scratch:
             atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+        _OPEN[self.root] = self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
@@ -35,7 +48,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
-        """Delete what was written, once nothing reads it any more."""
+        """Delete what was written, once nothing reads it any more; what is never released goes with the process."""
+        _OPEN.pop(self.root, None)
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources import storage
+
 
 def stream_results(spark: SparkSession, folder: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """Read a growing folder of result files under an explicit schema."""
@@ -27,7 +29,18 @@ def distinct_requests(stream: DataFrame, at: str, late: str = "7 days") -> DataF
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what is there, into a memory table, and return it."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a streaming query over what is there into a folder beside its checkpoint and return a scan of it.
+
+    In complete mode each batch replaces the result; else it is a part of its own, written again if the batch is repeated,
+    so every row counts once. Nothing is gathered in the driver.
+    """
+    out, spark, schema = f"{checkpoint}-{name}", stream.sparkSession, stream.schema
+
+    def sink(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/part={number}")
+
+    query = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not storage.exists(out):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out if mode == "complete" else f"{out}/part=*")

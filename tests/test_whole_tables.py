@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import methods, metrics
+from plumbline.operators import methods, metrics, selection
 from plumbline.plans import lenses
 from plumbline.plans import metric_queries as MQ
 from plumbline.plans import question_queries as Q
@@ -36,3 +37,12 @@ def test_pride_gate_sees_all_questions(spark, monkeypatch):
     gate = seen[0].first()
     assert gate.gate_n_evaluated == rows and gate.gate_n_excluded > 0
     assert gate.gate_n_total == Q._one_each(spark, SF).count() == rows + gate.gate_n_excluded
+
+
+def test_a_leak_is_an_error(spark):
+    a = spark.createDataFrame([(1, "k"), (2, "l")], "ordinal long, key string")
+    assert selection.require_disjoint(a, a.where("ordinal > 5"), "key").count() == 2
+    with pytest.raises(ValueError, match="1 calibration rows"):
+        selection.require_disjoint(a, a.where("ordinal = 2"), "key")
+    with pytest.raises(ValueError, match="missing"):
+        selection.id_list(a, spark.createDataFrame([("k",), ("x",)], "key string"), "key")
