@@ -260,6 +260,18 @@ def evaluate(df: DataFrame, by: list[str], names: list[str] | None = None) -> Da
     return out
 
 
+def regraded(answers: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """One row: answers whose text another label set knows, how many it grades otherwise, and right answers before and after.
+
+    ``answers`` is (key, correct_option, parsed_choice), ``labels`` (key, label); texts must be equal. A text that the labels
+    have with several letters grades nothing; null texts meet nothing.
+    """
+    one = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("label"), (F.min("label") == F.max("label")).alias("sure")).where("sure")
+    both = answers.select(key, "correct_option", "parsed_choice").join(one.select(key, "label"), key)
+    right = lambda gold: F.count_if(F.coalesce(F.col("parsed_choice") == F.col(gold), F.lit(False)))
+    return both.agg(F.count(F.lit(1)).alias("n_regraded"), F.count_if(~F.col("label").eqNullSafe(F.col("correct_option"))).alias("n_other_label"), right("correct_option").alias("right_before"), right("label").alias("right_after"))
+
+
 def python_metric(df: DataFrame, by: list[str], compute: Callable[[pd.DataFrame], dict[str, float]]) -> DataFrame:
     """(by, metric, value) of any Python function over one group's rows."""
 

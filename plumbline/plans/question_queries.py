@@ -275,6 +275,14 @@ def exact_stem_regrade(spark: SparkSession, folder: str) -> DataFrame:
     return per.where(F.col("n") > 1).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("lo") != F.col("hi")).alias("n_disagreeing"))
 
 
+def regraded_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers to all delivered questions, graded again by the labels that model outputs of the same text were checked against: those of the latest deliveries."""
+    q = lenses.questions(spark, folder).withColumn("key", F.md5(F.to_json(F.struct("question_text", F.transform("choices", lambda o: o["text"])))))
+    answers = q.select("key", "correct_option", F.char(F.col("ordinal") % F.greatest("n_choices", F.lit(1)) + 65).alias("parsed_choice"))
+    latest = q.groupBy("key").agg(F.max_by("correct_option", "ordinal").alias("label"))
+    return metrics.regraded(answers, latest, "key")
+
+
 def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Structured Streaming over the response table: failures by provider, equal to the batch result."""
     import os
@@ -294,7 +302,7 @@ QUERIES = {
         normalize_questions, option_maps, gold_letters, validation_report, duplicate_id_rows, null_option_scan, permutation_filter, choice_counts, modal_choice_count, modal_k_gate, dedup_ladder, strict_groups,
         strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, id_list_gaps, calibration_disjoint, leakage_overlap, leakage_semantic, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
         parse_replies, parse_summary, single_letter_replies, text_match, finish_reasons, request_cache_misses, direct_dummy, shuffled_dummy, cyclic_dummy, cyclic_traces, logprob_dummy, cyclic_logprob_dummy, pride_dummy,
-        two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, streamed_counts,
+        two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, regraded_answers, streamed_counts,
     )
 }
 
@@ -387,5 +395,8 @@ SELECT 'both' AS set, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FRO
 UNION ALL SELECT 'union_all', (SELECT count(question_id) FROM toy_normalized) + (SELECT count(question_id) FROM model_responses)""",
     "event_fields": "SELECT event_type, count(json_extract(props, '$.k')) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS INT)) AS largest FROM events GROUP BY event_type",
     "exact_stem_regrade": f"WITH {_Q}, p AS (SELECT count(*) AS n, min(correct_option) AS lo, max(correct_option) AS hi FROM q GROUP BY question_text, texts HAVING count(*) > 1) SELECT count(*) AS n_texts, count(*) FILTER (lo <> hi) AS n_disagreeing FROM p",
+    "regraded_answers": f"""WITH {_Q}, k AS (SELECT *, coalesce(nullif(upper(trim(correct_option)), ''), chr(65 + correct_index), '') AS gold, chr(CAST(65 + ordinal % greatest(n_choices, 1) AS INT)) AS c FROM q),
+l AS (SELECT question_text AS t, texts AS x, max_by(gold, ordinal) AS label FROM k GROUP BY question_text, texts)
+SELECT count(*) AS n_regraded, count(*) FILTER (label <> gold) AS n_other_label, count(*) FILTER (c = gold) AS right_before, count(*) FILTER (c = label) AS right_after FROM k JOIN l ON l.t IS NOT DISTINCT FROM k.question_text AND l.x IS NOT DISTINCT FROM k.texts""",
     "streamed_counts": "SELECT provider, count(*) AS n_total, count(*) FILTER (status = 'failure') AS n_failed FROM model_responses GROUP BY provider",
 }

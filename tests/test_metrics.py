@@ -21,6 +21,7 @@ def test_accuracy(spark):
 
 
 def test_clopper_pearson():
+    # Fixed value: the published interval of 6,653 right answers in 13,564.
     low, high = clopper_pearson(6653, 13564)
     assert low == pytest.approx(0.48204257005438156, abs=1e-12) and high == pytest.approx(0.4989405739998935, abs=1e-12)
     assert clopper_pearson(0, 5)[0] == 0.0 and clopper_pearson(5, 5)[1] == 1.0 and clopper_pearson(0, 0) == (None, None)
@@ -37,14 +38,15 @@ def test_mad(spark):
 
 
 def test_recalls(spark):
-    pairs = [("A", "A")] * 3 + [("A", "B")] + [("B", "B")] * 2 + [("B", "A"), ("B", "C"), ("C", "C"), ("D", "A")]
+    # Recalls of 80, 25, 0 and 100: mean 51.25, so the deviations are 28.75, -26.25, -51.25 and 48.75.
+    pairs = [("A", "A")] * 4 + [("A", "D")] + [("B", "B"), ("B", "C"), ("B", "C"), ("B", "A")] + [("C", "B")] + [("D", "D")] * 2 + [("D", None)]
     got = {r.letter: r.recall for r in M.recalls(results(spark, pairs), ["cond"]).collect()}
-    assert got == {"A": 75.0, "B": 50.0, "C": 100.0, "D": 0.0}
-    assert M.recall_rstd(results(spark, pairs), ["cond"]).first().rstd == pytest.approx(math.sqrt(1367.1875))
-    one = results(spark, [("A", "A"), ("A", "A"), ("A", "B"), ("A", "C"), ("A", "A")])
-    assert {r.letter: r.recall for r in M.recalls(one, ["cond"]).collect()} == {"A": 60.0, "B": None, "C": None}
+    assert got == {"A": 80.0, "B": 25.0, "C": 0.0, "D": 100.0}
+    assert M.recall_rstd(results(spark, pairs), ["cond"]).first().rstd == pytest.approx(math.sqrt((28.75**2 + 26.25**2 + 51.25**2 + 48.75**2) / 4))
+    one = results(spark, [("B", "B"), ("B", "D"), ("B", "B"), ("B", "B")])
+    assert {r.letter: r.recall for r in M.recalls(one, ["cond"]).collect()} == {"B": 75.0, "D": None}
     assert M.recall_rstd(one, ["cond"]).first().rstd == 0.0
-    assert M.recall_wide(one, ["cond"], ["A", "B"]).first().asDict() == {"cond": "c", "A": 60.0, "B": None}
+    assert M.recall_wide(one, ["cond"], ["B", "D"]).first().asDict() == {"cond": "c", "B": 75.0, "D": None}
 
 
 def traces(spark, rows):

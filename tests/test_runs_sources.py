@@ -256,3 +256,29 @@ def test_scratch_is_written_and_released(spark):
     assert root.exists()
     scratch.release()
     assert not root.exists()
+
+
+def test_revisions_from_a_cache(spark, tmp_path):
+    from plumbline.sources import revisions
+
+    commit, home = "0123456789abcdef" * 2 + "01234567", tmp_path / "datasets--org--quiz"
+    (home / "refs").mkdir(parents=True)
+    (home / "refs/main").write_text(commit + "\n")
+    with pytest.raises(revisions.RevisionError, match="files"):
+        revisions.cached_commit(str(tmp_path), "org/quiz")
+    snapshot = home / "snapshots" / commit / "all"
+    snapshot.mkdir(parents=True)
+    for name, n in (("test-00000-of-00002", 3), ("test-00001-of-00002", 4), ("tests", 9), ("dev", 5)):
+        spark.range(n).toPandas().to_parquet(snapshot / f"{name}.parquet")
+    assert revisions.cached_commit(str(tmp_path), "org/quiz") == commit == revisions.cached_commit(str(tmp_path), "org/quiz", commit)
+    df, pin = revisions.pinned_table(spark, str(tmp_path), "org/quiz", "test", subset="all")
+    assert df.count() == 7 and pin["commit"] == commit and len(pin["files"]) == 2
+    assert revisions.pinned_table(spark, str(tmp_path), "org/quiz", "dev", subset="all")[1]["fingerprint"] != pin["fingerprint"]
+    for bad in (("org/other", "main"), ("org/quiz", "v9"), ("org/quiz", "f" * 40)):
+        with pytest.raises(revisions.RevisionError):
+            revisions.cached_commit(str(tmp_path), *bad)
+    with pytest.raises(revisions.RevisionError, match="split"):
+        revisions.pinned_table(spark, str(tmp_path), "org/quiz", "train", subset="all")
+    (home / "refs/odd").write_text("not a commit")
+    with pytest.raises(revisions.RevisionError, match="commit"):
+        revisions.cached_commit(str(tmp_path), "org/quiz", "odd")
