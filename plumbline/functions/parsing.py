@@ -8,6 +8,7 @@ a letter stays in the JVM.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -103,6 +104,11 @@ def letter_answer(text: str, labels: frozenset[str]) -> Parsed:
     return Parsed(head, OK, text, f"{kind} letter")
 
 
+_short_letter_answer = lru_cache(maxsize=65_536)(letter_answer)
+#: Replies of at most this length recur often enough to be remembered; memory stays bounded.
+_SHORT = 100
+
+
 def _mentions(option: str, text: str) -> bool:
     """Whether the option occurs, in any letter case, not inside a run of ASCII letters and digits."""
     word = lambda c: c.isascii() and c.isalnum()
@@ -151,7 +157,8 @@ def option_answer(text: str, options: dict[str, str]) -> Parsed:
 def parse_answer(raw_text: object, options: dict[str, str]) -> Parsed:
     """Normalise, unwrap, look for a letter, then for an option text. Never raises on any reply."""
     text = unwrap(normalise_output(raw_text))
-    got = letter_answer(text, frozenset(options))
+    read = _short_letter_answer if len(text) <= _SHORT else letter_answer
+    got = read(text, frozenset(options))
     return option_answer(text, options) if got.status == MISSING else got
 
 

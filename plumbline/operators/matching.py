@@ -7,26 +7,33 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.identity import TIE_NAMESPACE, tie_udf
 from plumbline.functions.text import ws_case_key
-from plumbline.functions.vectors import cosine
+from plumbline.functions.vectors import cosine, let
 
 LEAST_CONTAINED = 4
 LEAST_COSINE = 0.30
 
 
+def _keyed(text: Column, options: Column) -> Column:
+    """The keys of a text and its options (t, o: label and key x), made once however often they are compared."""
+    return F.struct(ws_case_key(text).alias("t"), F.transform(options, lambda o: F.struct(o["label"].alias("label"), ws_case_key(o["text"]).alias("x"))).alias("o"))
+
+
+def _hits(k: Column) -> Column:
+    """(e, c): labels of the exact and of the contained options."""
+    long = F.length(k["t"]) >= LEAST_CONTAINED
+    contains = lambda o: (F.length(o["x"]) >= LEAST_CONTAINED) & (F.contains(k["t"], o["x"]) | (F.contains(o["x"], k["t"]) & long))
+    labels = lambda hit: F.transform(F.filter(k["o"], hit), lambda o: o["label"])
+    return F.struct(labels(lambda o: o["x"] == k["t"]).alias("e"), labels(contains).alias("c"))
+
+
 def exact_hits(text: Column, options: Column) -> Column:
     """Labels of the options that equal the text but for letter case and white space."""
-    return F.transform(F.filter(options, lambda o: ws_case_key(o["text"]) == ws_case_key(text)), lambda o: o["label"])
+    return let(_keyed(text, options), _hits)["e"]
 
 
 def contained_hits(text: Column, options: Column) -> Column:
     """Labels of the options (4 characters or more) that hold the text or lie within it; a shorter text only counts if it holds the option."""
-    t = ws_case_key(text)
-
-    def hit(o: Column) -> Column:
-        x = ws_case_key(o["text"])
-        return (F.length(x) >= LEAST_CONTAINED) & (F.contains(t, x) | (F.contains(x, t) & (F.length(t) >= LEAST_CONTAINED)))
-
-    return F.transform(F.filter(options, hit), lambda o: o["label"])
+    return let(_keyed(text, options), _hits)["c"]
 
 
 def cosine_hits(vector: Column, options: Column, vectors: Column) -> Column:
@@ -41,13 +48,17 @@ def matched(df: DataFrame, text: str, options: str, vector: str | None = None, v
     """``df`` plus stage (exact, contained, cosine or null) and tied (labels); blank and null texts and null options match nothing."""
     t, o = F.col(text), F.coalesce(F.col(options), F.array().cast(df.schema[options].dataType))
     none = F.array().cast("array<string>")
-    usable = F.coalesce(ws_case_key(t), F.lit("")) != ""
-    exact, contained = exact_hits(t, o), contained_hits(t, o)
+    usable = F.coalesce(F.trim(t), F.lit("")).rlike(r"(?U)\S")
+    both = let(_keyed(t, o), _hits)
     near = cosine_hits(F.col(vector), o, F.col(vectors)) if vector and vectors else none
-    staged = df.withColumn("__e", F.when(usable, exact).otherwise(none)).withColumn("__c", F.when(usable, contained).otherwise(none)).withColumn("__v", F.when(usable, near).otherwise(none))
-    stage = F.when(F.size("__e") > 0, "exact").when(F.size("__c") == 1, "contained").when(F.size("__v") > 0, "cosine")
-    tied = F.when(F.size("__e") > 0, F.col("__e")).when(F.size("__c") == 1, F.col("__c")).otherwise(F.col("__v"))
-    return staged.select(*df.columns, stage.alias("stage"), tied.alias("tied"))
+    def outcome(h: Column) -> Column:
+        exact, contained = F.size(h["e"]) > 0, F.size(h["c"]) == 1
+        stage = F.when(exact, "exact").when(contained, "contained").when(F.size(h["v"]) > 0, "cosine")
+        return F.struct(stage.alias("stage"), F.when(exact, h["e"]).when(contained, h["c"]).otherwise(h["v"]).alias("tied"))
+
+    nothing = F.struct(F.lit(None).cast("string").alias("stage"), none.alias("tied"))
+    staged = let(F.struct(both.alias("b"), near.alias("v")), lambda p: outcome(F.struct(p["b"]["e"].alias("e"), p["b"]["c"].alias("c"), p["v"].alias("v"))))
+    return df.select("*", F.when(usable, staged).otherwise(nothing).alias("__m")).select(*df.columns, "__m.stage", "__m.tied")
 
 
 def match_options(df: DataFrame, text: str, options: str, benchmark: Column, question: Column, seed: int, method: str, vector: str | None = None, vectors: str | None = None, namespace: str = TIE_NAMESPACE) -> DataFrame:

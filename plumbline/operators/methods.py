@@ -67,7 +67,7 @@ def _rotated_votes(rotated: DataFrame, respond: Responder) -> DataFrame:
 
 
 def _collapsed(questions: DataFrame, votes: DataFrame, seed: int, benchmark: str, name: str) -> DataFrame:
-    """One result for each question from its rotation votes, which are gathered once; the trace row is rotation 0.
+    """One result for each question from its rotation votes, which are gathered once and written; the trace row is rotation 0.
 
     ``questions`` have one row for each id, so a question's votes are as few as its options.
     """
@@ -77,6 +77,7 @@ def _collapsed(questions: DataFrame, votes: DataFrame, seed: int, benchmark: str
         F.count(F.lit(1)).alias("n_permutations_total"),
         F.count_if(F.col("transport_status") == "failure").alias("n_permutations_failed"),
     )
+    trace = Scratch(questions.sparkSession).keep(trace, "votes")
     won = voting.elected(trace, "per_rotation_choices", F.lit(benchmark), F.col("question_id"), seed, name).withColumnRenamed("winner", "parsed_choice").drop("votes_for", "n_tied")
     joined = questions.join(won, "question_id")
     parsed = joined.select("*", "t.*").drop("t").withColumn("parse_status", F.when(F.col("parsed_choice").isNotNull(), "parse_ok").otherwise("parse_missing")).withColumn("parse_reason", F.lit("majority_vote"))
