@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import identity, options, text
 from plumbline.operators import fanout, matching, methods, metrics, normalize, quality, selection
-from plumbline.operators.scoring import parsed_and_scored
+from plumbline.operators.scoring import parsed_and_scored, stamped_by_table
 from plumbline.plans import lenses, runs
 from plumbline.sources import responders
 from plumbline.sources.artifacts import identity_problems, membership_problems
@@ -283,17 +283,48 @@ def regraded_answers(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.regraded(answers, latest, "key")
 
 
-def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Structured Streaming over the response table: failures by provider, equal to the batch result."""
+def _response_stream(spark: SparkSession, folder: str) -> DataFrame:
     import os
 
     t = table(spark, folder, "model_responses")
     path = f"{folder}/model_responses.parquet"
     reader = spark.readStream.schema(t.schema)
-    stream = reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "model_responses.parquet").parquet(folder)
-    counts = stream.groupBy("provider").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("status") == "failure").alias("n_failed"))
-    scratch = Scratch(spark)
-    return results_stream.run_once(counts, "counts", f"{scratch.root}/stream")
+    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", "model_responses.parquet").parquet(folder)
+
+
+def streamed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Structured Streaming over the response table: failures by provider, equal to the batch result."""
+    counts = _response_stream(spark, folder).groupBy("provider").agg(F.count(F.lit(1)).alias("n_total"), F.count_if(F.col("status") == "failure").alias("n_failed"))
+    return results_stream.run_once(counts, "counts", f"{Scratch(spark).root}/stream")
+
+
+def streamed_health(spark: SparkSession, folder: str) -> DataFrame:
+    """Failures of each provider and day of receipt (days since 1970, UTC); late rows are within the watermark."""
+    health = results_stream.windowed_health(_response_stream(spark, folder), "received_at", "1 day", "3650 days")
+    got = results_stream.run_once(health, "health", f"{Scratch(spark).root}/stream")
+    return got.select(F.floor(F.unix_timestamp("window_start") / 86_400).alias("day"), "provider", "n_total", "n_failed")
+
+
+def streamed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request once, however often it was stored; null request ids count as one."""
+    once = results_stream.distinct_requests(_response_stream(spark, folder), "received_at", "3650 days")
+    return results_stream.run_once(once.select("request_id"), "requests", f"{Scratch(spark).root}/stream", "append")
+
+
+def source_indexes(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each option came from: label to source index."""
+    q = lenses.questions(spark, folder)
+    found = options.source_map(options.labelled(F.col("choices")))
+    return q.select("ordinal", F.explode(found).alias("label", "source_index"))
+
+
+def stamped_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses stamped with the conditions of their model by one join; how many of each condition."""
+    models = table(spark, folder, "model_responses").select("provider", "model_name")
+    names = spark.createDataFrame([(m,) for m in sorted(methods.METHODS)], "method_name string")
+    conditions = runs.condition_grid(table(spark, folder, "eval_items").select("benchmark_name"), names, models).drop("provider")
+    rows = table(spark, folder, "model_responses").select("model_name", F.lit("direct_mcq").alias("method_name"), "status")
+    return stamped_by_table(rows, conditions).groupBy("condition_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "failure").alias("n_failed"))
 
 
 QUERIES = {
@@ -302,7 +333,7 @@ QUERIES = {
         normalize_questions, option_maps, gold_letters, validation_report, duplicate_id_rows, null_option_scan, permutation_filter, choice_counts, modal_choice_count, modal_k_gate, dedup_ladder, strict_groups,
         strict_group_members, semantic_identities, subject_filter, group_sample, hash_sample, id_list_selection, id_list_gaps, calibration_disjoint, leakage_overlap, leakage_semantic, chunk_numbers, rotations_fanout, render_prompts, seeded_shuffles,
         parse_replies, parse_summary, single_letter_replies, text_match, finish_reasons, request_cache_misses, direct_dummy, shuffled_dummy, cyclic_dummy, cyclic_traces, logprob_dummy, cyclic_logprob_dummy, pride_dummy,
-        two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, regraded_answers, streamed_counts,
+        two_stage_dummy, condition_grid, resume_remaining, result_identity_problems, result_membership, id_set_operations, event_fields, exact_stem_regrade, regraded_answers, streamed_counts, streamed_health, streamed_requests, source_indexes, stamped_results,
     )
 }
 
@@ -399,4 +430,10 @@ UNION ALL SELECT 'union_all', (SELECT count(question_id) FROM toy_normalized) +
 l AS (SELECT question_text AS t, texts AS x, max_by(gold, ordinal) AS label FROM k GROUP BY question_text, texts)
 SELECT count(*) AS n_regraded, count(*) FILTER (label <> gold) AS n_other_label, count(*) FILTER (c = gold) AS right_before, count(*) FILTER (c = label) AS right_after FROM k JOIN l ON l.t IS NOT DISTINCT FROM k.question_text AND l.x IS NOT DISTINCT FROM k.texts""",
     "streamed_counts": "SELECT provider, count(*) AS n_total, count(*) FILTER (status = 'failure') AS n_failed FROM model_responses GROUP BY provider",
+    "streamed_health": "SELECT CAST(floor(epoch(received_at) / 86400) AS BIGINT) AS day, provider, count(*) AS n_total, count(*) FILTER (status = 'failure') AS n_failed FROM model_responses WHERE received_at IS NOT NULL GROUP BY ALL",
+    "streamed_requests": "SELECT DISTINCT request_id FROM model_responses",
+    "source_indexes": f"WITH {_Q}, {_LABELLED}, e AS (SELECT ordinal, unnest(opts) AS o FROM lab) SELECT ordinal, o.label AS label, o.src AS source_index FROM e",
+    "stamped_results": """WITH g AS (SELECT DISTINCT e.benchmark_name, r.provider, r.model_name FROM (SELECT DISTINCT benchmark_name FROM eval_items) e, (SELECT DISTINCT provider, model_name FROM model_responses) r),
+c AS (SELECT model_name, substr(sha256(array_to_string([benchmark_name, 'direct_mcq', provider, model_name], '|')), 1, 16) AS condition_id FROM g)
+SELECT condition_id, count(*) AS n, count(*) FILTER (status = 'failure') AS n_failed FROM model_responses JOIN c USING (model_name) GROUP BY condition_id""",
 }

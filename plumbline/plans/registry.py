@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import lifecycle_queries, metric_queries, question_queries
+from plumbline.plans import lifecycle_queries, metric_queries, question_queries, reply_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries by name."""
-    return {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
+    return {name: sql for module in [*_MODULES, reply_sql] for name, sql in module.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
