@@ -43,4 +43,4 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
     query.awaitTermination()
     if not storage.exists(out):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(out if mode == "complete" else f"{out}/part=*")
+    return spark.read.schema(schema).parquet(out).select(*schema.names)
