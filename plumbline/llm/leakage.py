@@ -46,6 +46,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Odd multipliers of the places in a window; places further on get others.
+_PLACE = [0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * k & 0xFFFFFFFFFFFFFFFF for k in range(16)]
+
+
 class _Hashes(dict):
     """64-bit hash by word; emptied when it has grown, so its size is bounded."""
 
@@ -66,13 +70,21 @@ def _seeds(hashes: np.ndarray, lengths: np.ndarray, masks: tuple[str, ...]) -> I
         return
     pos = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[owner] + pos
+    # Every word of a window is hashed for its place once; a mask takes the ignored places off the sum of all.
+    ignored = {o for m in masks for o, kept in enumerate(m) if kept == "0"}
+    every, apart = np.zeros(len(at), dtype=np.uint64), {}
+    for offset in range(span):
+        term = hashes[at + offset] * np.uint64((_PLACE[offset % len(_PLACE)] + (offset // len(_PLACE)) * 2) & 0xFFFFFFFFFFFFFFFF)
+        every += term
+        if offset in ignored:
+            apart[offset] = term
     for number, mask in enumerate(masks):
-        seed = np.full(len(at), number + 1, dtype=np.uint64)
+        seed = every + np.uint64(number + 1)
         for offset, kept in enumerate(mask):
-            if kept == "1":
-                seed = (seed ^ hashes[at + offset]) * np.uint64(0x9E3779B97F4A7C15)
-                seed ^= seed >> np.uint64(29)
-        yield number, owner, pos, seed
+            if kept == "0":
+                seed -= apart[offset]
+        seed = (seed ^ (seed >> np.uint64(29))) * np.uint64(_PLACE[0])
+        yield number, owner, pos, seed ^ (seed >> np.uint64(32))
 
 
 def _tokenised(texts: pa.Array, cache: _Hashes) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
