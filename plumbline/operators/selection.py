@@ -143,13 +143,12 @@ def overlap(calibration: DataFrame, evaluation: DataFrame, key: str) -> DataFram
 def chunks(df: DataFrame, every: int, order: str = "ordinal") -> DataFrame:
     """``df`` plus chunk_number: consecutive chunks of ``every`` rows in source order, without sorting in one task.
 
-    Rows are numbered within blocks of 65,536 consecutive ordinals; the counts of the blocks before give the offset.
+    Rows are numbered within blocks of 65,536 consecutive ordinals; the counts of the blocks before give the offset. Only
+    these counts, one for each block, meet in one task. Rows without an ordinal come last.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / 65536).cast("long"))
-    offsets, total = [], 0
-    for r in blocked.groupBy("__block").count().orderBy("__block").collect():
-        offsets.append((r["__block"], total))
-        total += r["count"]
-    table = df.sparkSession.createDataFrame(offsets, "__block long, __before long")
-    numbered = blocked.withColumn("__i", F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1).join(table, "__block")
+    at = F.coalesce(F.col(order).cast("long"), F.lit(2**62))
+    blocked = df.withColumn("__block", F.floor(at / 65536).cast("long"))
+    before = F.sum("count").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocked.groupBy("__block").count().select("__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = blocked.withColumn("__i", F.row_number().over(Window.partitionBy("__block").orderBy(order)) - 1).join(offsets, "__block")
     return numbered.select(*df.columns, F.floor((F.col("__before") + F.col("__i")) / every).cast("long").alias("chunk_number"))

@@ -110,6 +110,8 @@ def test_selection(spark):
     assert selection.exact_sample(df, 10, 3).count() == 10 and selection.calibration_sample(df, 500, 3).count() == 300
     numbers = selection.chunks(df, 64).groupBy("chunk_number").count().collect()
     assert sorted(r["count"] for r in numbers) == [44, 64, 64, 64, 64]
+    spread = spark.createDataFrame([(i * 40_000,) for i in range(10)] + [(None,), (None,)], "ordinal long")
+    assert [r.chunk_number for r in selection.chunks(spread, 5).orderBy(F.col("ordinal").asc_nulls_last()).collect()] == [0] * 5 + [1] * 5 + [2] * 2
     assert selection.shuffled_pick(5, 9, 0) == [0, 1, 2, 3, 4]
     order = list(range(8))
     random.Random(7).shuffle(order)
