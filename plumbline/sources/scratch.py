@@ -7,10 +7,10 @@ import shutil
 import tempfile
 import uuid
 from contextlib import suppress
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _OPEN: dict[str, Scratch] = {}
 
 
@@ -22,6 +22,14 @@ def release_all() -> None:
             scratch.release()
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """The folder of local sessions that name none: one for the process, gone with it."""
+    base = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 class Scratch:
     """Tables written once and read back, in the shared folder of ``spark.checkpoint.dir``.
 
@@ -35,9 +43,7 @@ class Scratch:
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-            base = tempfile.mkdtemp(prefix="plumbline-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            spark.conf.set("spark.checkpoint.dir", base)
+            base = _own_folder()
         self.root = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
         _OPEN[self.root] = self
 
