@@ -196,3 +196,10 @@ def test_production_parameters_reach_the_pivot_splits(spark, monkeypatch):
     rows = [(k * 10_000 + i, " ".join([*stems[k], f"own{k}x{i}"]), []) for k in range(2) for i in range(2600)]
     links = nd.near_links(q(spark, rows))
     assert links.count() == 2 * 2600 * 2599 // 2 and seen
+
+
+def test_groups_of_nothing_and_of_rows_without_an_ordinal(spark):
+    assert nd.near_groups(q(spark, [])).count() == 0 and nd.near_links(q(spark, [])).count() == 0
+    rows = [(None, "one two three", ["four"]), (5, "one two three", ["four"]), (6, "one two three", ["five"])]
+    got = {r.ordinal: (r.class_id, r.n_links, r.group_id) for r in nd.near_groups(q(spark, rows).withColumn("group_id", F.lit(9))).collect()}
+    assert got == {5: (5, 1, 5), 6: (6, 1, 5)}

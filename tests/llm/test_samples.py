@@ -131,4 +131,6 @@ def test_sample_meets_targets(spark):
 def test_empty_sample(spark):
     s = sample(spark, [], [(1, "a", 1.0, 1, 10)])
     assert s.sample().count() == 0 and s.report().first().short
-    assert sample(spark, [("i", "a", 1, "x")], []).report().count() == 0
+    assert s.margins().collect()[0].gap == 0.0
+    none = sample(spark, [("i", "a", 1, "x")], [])
+    assert none.report().count() == none.sample().count() == none.margins().count() == 0
